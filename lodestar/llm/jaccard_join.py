@@ -321,7 +321,7 @@ class _Hard:
         main = main.select("cluster", F.col("m.label").alias("main"), F.ceil(F.col("all") / TILE_NODES).cast("int").alias("right"), F.ceil((F.col("all") - F.col("m.n")) / TILE_NODES).cast("int").alias("left"))
         placed = nodes.join(main, "cluster").join(sets, "node")
         mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-        left = placed.filter("label != main").select(F.col("cluster").alias("ck"), mine("left").alias("ak"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("bk"), "node", "label", "features")
+        left = placed.filter("label != main").select(F.col("cluster").alias("ck"), mine("left").alias("ak"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("bk"), *(F.col(c).alias(c) for c in ("node", "label", "features")))
         right = placed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("a"), mine("right").alias("b"), "node", "label", "features")
         return left.groupBy("ck", "ak", "bk").cogroup(right.groupBy("cluster", "a", "b")).applyInArrow(_tile(self.percent), "u long, v long")
 

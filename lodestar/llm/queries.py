@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality_rules, sharding, warc
+from . import chat, decontaminate, jaccard_join, packing, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,6 +27,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 #: The contract's extra conversation, both of whose turns are full of control strings.
 EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -36,6 +44,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(spark.createDataFrame(EXTRA, rows.schema)), tokenizer_path())
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_warc, op6_chat_format, op8_packing, op9_quality_rules)
+    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules)
     return {f.__name__: f for f in found}
 
 

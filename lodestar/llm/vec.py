@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: For comparisons across punctuation: ASCII letters, digits and all bytes above 127 stand in words.
+PLAIN_WORD = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -68,12 +70,21 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case: A-Z, and the capitals of U+00C0 to U+00DE."""
+    low = _LOWER[data]
+    if len(data) > 1:
+        second = data[1:]
+        low[1:] += ((data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)).astype(np.uint8) * np.uint8(32)
+    return low
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word_byte: np.ndarray = _IS_WORD, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, word offsets by row) of all words of a block."""
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    is_word = _IS_WORD[data]
+    is_word = is_word_byte[data]
     before = np.zeros(n, bool)
     before[1:] = is_word[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
@@ -83,7 +94,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     starts = np.flatnonzero(is_word & ~before)
     ends = np.flatnonzero(is_word & ~after) + 1
     sums = np.zeros(n + 1, U64)
-    np.cumsum((_LOWER[data] if lower else data).astype(U64) * _table("base", _BASE, n) + _table("base", _BASE, n), out=sums[1:])
+    np.cumsum((folded(data) if fold else _LOWER[data]).astype(U64) * _table("base", _BASE, n) + _table("base", _BASE, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _table("inverse", _INVERSE, n)[starts]
     h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
     return h, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
