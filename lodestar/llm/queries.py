@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, packing, quality_rules, sharding, toxicity, warc
+from . import chat, decontaminate, jaccard_join, language_id, packing, quality_bayes, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +36,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host is the document's source, the path below it the part of the source in one language."""
+    return quality_bayes.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 #: The contract's extra conversation, both of whose turns are full of control strings.
 EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -56,8 +62,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules)
+    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id)
     return {f.__name__: f for f in found}
 
 
