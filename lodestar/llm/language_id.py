@@ -31,8 +31,8 @@ from .common import crc_mod, text_or_empty
 
 WIDTHS, FILTERS, DIMENSIONS = (2, 3, 4), 8, 8
 WINDOW, PAD = 256, 4
-#: The largest number of labelled texts, and of windows from each, that are learned from.
-SAMPLE, SAMPLE_WINDOWS = 3000, 6
+#: The largest number of labelled texts, of windows from each, and of bytes in one of them, that are learned from.
+SAMPLE, SAMPLE_WINDOWS, SAMPLE_TEXT = 3000, 6, 1 << 18
 UNKNOWN = "und"
 
 
@@ -171,7 +171,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def labelled(docs: DataFrame, key: str, text: str, lang: str, bound: int) -> DataFrame:
     """At most `bound` rows (text, lang) that may be learned from, chosen by a hash of the id."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT) & ~held_out(key))
     n = rows.count()
     few = rows.filter(F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * bound / max(1, n))))
     return few.select(key, F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy(F.xxhash64(key), "text", "lang").limit(bound)

@@ -10,7 +10,12 @@ Scoring uses the whole text. As the softmax is linear, each row of the table
 shrinks to one number before scoring: a text's logit is the mean of its
 n-grams' numbers. Averages are taken over short passages (two cells of CELL
 bytes, overlapping by one), in training as in scoring, and a text takes the
-score of its worst passage, so that length does not dilute what one says.
+score of its worst passage, so that length does not dilute what one says; a
+logistic curve over that logit, the number of passages that look toxic and
+the number of passages, fitted on labelled texts that the model has not seen,
+turns it into the score. Training takes rounds: a toxic text need not be toxic
+throughout, so later rounds learn from its worst passages only, and from those
+passages of other texts that were mistaken for toxic ones.
 
 Defined cases: a null text counts as empty; an empty text, and one without
 n-grams, has the score of a bag with nothing in it, the softmax of the bias;
@@ -32,11 +37,11 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import crc_mod, text_or_empty
 
-BITS, DIMENSIONS, SIZES = 18, 4, (4, 5)
-#: The largest number of labelled texts that are learned from, and of their bytes.
-SAMPLE, SAMPLE_BYTES = 6000, 16 << 20
+BITS, DIMENSIONS, SIZES = 18, 4, (3, 4, 5, 6)
+#: The largest number of labelled texts that are learned from, and of bytes in one of them.
+SAMPLE, SAMPLE_TEXT = 3200, 1 << 18
 #: Bytes of half a passage; passages overlap by a half.
-CELL = 32
+CELL = 16
 #: Passages without toxic words that a round learns from: at random, and those that the last round took to be the most toxic.
 RANDOM, HARDEST, ROUNDS = 16000, 12000, 4
 #: Logit from which a passage of a toxic text is taken to be toxic itself.
@@ -170,9 +175,9 @@ class Passages:
         return out + bias
 
 
-def text_logits(column: pa.Array, numbers: np.ndarray, bias: float) -> np.ndarray:
-    """The logit of each text: that of its worst passage."""
-    out = np.zeros(len(column))
+def text_features(column: pa.Array, numbers: np.ndarray, bias: float) -> np.ndarray:
+    """Three numbers for each text: the logit of its worst passage, how many passages look toxic (log), and how many there are (log)."""
+    out = np.zeros((len(column), 3))
     for a, b, data, offsets in vec.blocks(column):
         first, each = cells(data, offsets)
         total, count = np.zeros(first[-1] + 1), np.zeros(first[-1] + 1)
@@ -181,28 +186,32 @@ def text_logits(column: pa.Array, numbers: np.ndarray, bias: float) -> np.ndarra
             count += np.bincount(cell, minlength=len(count))
         inner = np.ones(first[-1], bool)
         inner[first[1:] - 1] = False  # the last cell of a text has no right neighbour
-        mean = np.where(inner, total[:-1] + total[1:], total[:-1]) / np.maximum(1, np.where(inner, count[:-1] + count[1:], count[:-1]))
-        out[a:b] = np.maximum.reduceat(mean, first[:-1]) + bias
+        mean = bias + np.where(inner, total[:-1] + total[1:], total[:-1]) / np.maximum(1, np.where(inner, count[:-1] + count[1:], count[:-1]))
+        out[a:b, 0] = np.maximum.reduceat(mean, first[:-1])
+        out[a:b, 1] = np.log1p(np.add.reduceat(1 / (1 + np.exp(-np.clip(mean, -30, 30))), first[:-1]))
+        out[a:b, 2] = np.log(np.diff(first))
     return out
 
 
-def scores(column: pa.Array, numbers: np.ndarray, bias: float, slope: float, shift: float) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(slope * text_logits(column, numbers, bias) + shift, -30, 30)))
+def scores(column: pa.Array, numbers: np.ndarray, bias: float, curve: np.ndarray) -> np.ndarray:
+    x = text_features(column, numbers, bias)
+    return 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve from a text's logit to the probability of label 1 (Newton steps, light ridge)."""
-    x = np.stack([logits, np.ones_like(logits)], 1)
-    w = np.array([1.0, 0.0])
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights and shift of a logistic curve from a text's features to the probability of label 1 (Newton steps, light ridge)."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    start = np.array([1.0, 0.0, 0.0, 0.0])
+    w = start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * (w - [1.0, 0.0])), -1, 1)
-    return float(max(w[0], 1e-3)), float(w[1])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
+        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * (w - start)), -1, 1)
+    return w
 
 
-def train(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
-    """Numbers by bucket, bias, slope and shift. Four fifths of the labelled texts train the model, the rest calibrate it."""
+def train(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float, np.ndarray]:
+    """Numbers by bucket, bias and calibrating curve. Four fifths of the labelled texts train the model, the rest calibrate it."""
     if len(np.unique(labels)) == 2:
         own = np.arange(len(labels)) % 5 == 0
         if len(np.unique(labels[own])) < 2 or len(np.unique(labels[~own])) < 2:
@@ -210,9 +219,9 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarra
         rest = ~own if not own.all() else own
         numbers, bias = learn(texts.take(pa.array(np.flatnonzero(rest))), labels[rest], seed)
         held = np.flatnonzero(own)
-        return numbers, bias, *calibrate(text_logits(texts.take(pa.array(held)), numbers, bias), labels[held])
+        return numbers, bias, calibrate(text_features(texts.take(pa.array(held)), numbers, bias), labels[held])
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
-    return np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share)))
+    return np.zeros(1 << BITS, np.float32), 0.0, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
 
 
 def learn(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -245,7 +254,8 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     n = marks.count()
     marks = marks.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * bound / max(1, n)))).orderBy(F.xxhash64(key)).limit(bound)
     # No more than `bound` rows, so a broadcast of bounded size.
-    return docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(marks), key).select(key, "text", "y")
+    texts = docs.select(F.col(key), text_or_empty(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT)
+    return texts.join(F.broadcast(marks), key).select(key, "text", "y")
 
 
 def held_out(key: str = "doc_id") -> Column:
