@@ -18,7 +18,8 @@ def ranked(candidates: DataFrame, by: list[str], order: list[Column], top: int |
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row of each key."""
-    return ranked(rows, key, order, 1).drop("rank")
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return rows.withColumn("_first", at).filter(F.col("_first") == 1).drop("_first")
 
 
 def channel(candidates: DataFrame, name: str) -> DataFrame:

@@ -87,10 +87,10 @@ def score_gap(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.within_gap(_scored(spark, sf).select("query_id", "item_id", "ranking_score"), "query_id", "ranking_score")
 
 
-@query("a3_score_distribution", f"WITH {_SCORED_SQL} SELECT query_id, count(*) AS n, round(min(ranking_score), 6) AS low, round(max(ranking_score), 6) AS high, round(avg(ranking_score), 5) AS mean FROM k GROUP BY query_id")
+@query("a3_score_distribution", f"WITH {_SCORED_SQL} SELECT query_id, count(*) AS n, round(min(ranking_score), 6) AS low, round(max(ranking_score), 6) AS high, round(avg(ranking_score) + 1e-9, 5) AS mean FROM k GROUP BY query_id")
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("ranking_score")
-    return _scored(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"), F.round(F.avg(s), 5).alias("mean"))
+    return _scored(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"), F.round(F.avg(s) + 1e-9, 5).alias("mean"))
 
 
 @query("u3_content_dedupe", r"""WITH d AS (SELECT doc_id, lang, substr(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))), 1, 240) AS k FROM documents)
