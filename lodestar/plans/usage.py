@@ -72,3 +72,11 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 @query("g14_token_estimate", "SELECT doc_id, greatest(1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT)) AS tokens FROM documents")
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", usage.estimated_tokens(F.length(F.coalesce("text", F.lit(""))), 1).alias("tokens"))
+
+
+@query("s_windowed_usage", "SELECT date_trunc('hour', ts) AS start, event_type AS operation, count(*) AS calls, CAST(sum(CAST(floor(value * 3000) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ALL")
+def windowed_usage(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming.usage_stream import windowed
+
+    e = table(spark, sf, "events")
+    return windowed(e.select("ts", F.col("event_type").alias("operation"), F.floor(F.col("value") * 3000).cast("long").alias("tokens")))

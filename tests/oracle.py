@@ -24,7 +24,7 @@ def plain(x):
     if x is None or x is pd.NaT or x is pd.NA:
         return None
     if isinstance(x, float):
-        return None if x != x else round(x, 6) + 0.0
+        return None if x != x else int(x) if x == int(x) else round(x, 6)
     if hasattr(x, "tolist"):
         x = x.tolist()
         return plain(x)
