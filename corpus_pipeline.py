@@ -25,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """`docs` without the rows whose id is among the rejected; those are few beside the corpus or a shuffle joins them."""
     bad = keep(rejected.select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

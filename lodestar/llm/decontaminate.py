@@ -230,4 +230,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """`docs` without those that hold a copy of an item; rows with a null id stay unless flagged."""
     bad = keep(contaminated(docs, benchmark, key, **options).select(F.col(key).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")

@@ -32,19 +32,24 @@ from .common import crc_mod, text_or_empty
 WIDTHS, FILTERS, DIMENSIONS = (2, 3, 4), 8, 8
 WINDOW, PAD = 256, 4
 #: The largest number of labelled texts, of windows from each, and of bytes in one of them, that are learned from.
-SAMPLE, SAMPLE_WINDOWS, SAMPLE_TEXT = 3000, 6, 1 << 18
+SAMPLE, SAMPLE_WINDOWS, SAMPLE_TEXT = 3000, 6, 1 << 16
 UNKNOWN = "und"
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with PAD zeros after each text and at the end, first position of each window, text of each window)."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with PAD zeros after each text and at the end, first position of each window, its number of positions, its text).
+
+    A text has one position more than bytes, so an empty one has one too; the
+    zeros after it keep every filter within the text.
+    """
     n = np.diff(offsets)
     starts = offsets[:-1] + PAD * np.arange(len(n))
     out = np.zeros(len(data) + PAD * len(n) + PAD, np.uint8)
     out[np.arange(len(data)) + PAD * np.repeat(np.arange(len(n)), n)] = data
-    count = (n + PAD - 1) // WINDOW + 1
+    count = n // WINDOW + 1
     row = np.repeat(np.arange(len(n)), count)
-    return out, starts[row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)), row
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return out, starts[row] + WINDOW * place, np.minimum(WINDOW, n[row] + 1 - WINDOW * place), row
 
 
 class Network:
@@ -122,8 +127,10 @@ class Applied:
         """One row of class probabilities per text."""
         out = np.zeros((len(column), len(self.languages)))
         for a, b, data, offsets in vec.blocks(column, 1 << 18):
-            x, first, row = windows(data, offsets)
+            x, first, length, row = windows(data, offsets)
             n = len(x) - PAD
+            # Positions after a text, from which a filter would reach into the next one.
+            after = (first + length)[np.r_[row[1:] != row[:-1], True]][:, None] + np.arange(PAD - 1)
             pair = x[:-1].astype(np.int32) * 256 + x[1:]
             features = []
             for pairs, odd in self.tables:
@@ -132,9 +139,10 @@ class Applied:
                     r += table[pair[2 * j : 2 * j + n]]
                 if odd is not None:
                     r += odd[x[2 * len(pairs) : 2 * len(pairs) + n]]
+                r[after.ravel()] = -1e9
                 features.append(np.maximum.reduceat(r, first, axis=0))
             logits = np.maximum(np.concatenate(features, 1), 0) @ self.weights + self.bias
-            weight = np.diff(np.r_[first, n]).astype(np.float64)
+            weight = length.astype(np.float64)
             total = np.stack([np.bincount(row, weight * logits[:, c], b - a) for c in range(logits.shape[1])], 1) / np.bincount(row, weight, b - a)[:, None]
             p = np.exp(total - total.max(1, keepdims=True))
             out[a:b] = p / p.sum(1, keepdims=True)
@@ -149,8 +157,7 @@ def train(texts: pa.Array, languages: list[str], seed: int = 0) -> Applied | Non
     rng = np.random.default_rng(seed)
     xs, lengths, ys = [], [], []
     for a, _, data, offsets in vec.blocks(texts):
-        x, first, row = windows(data, offsets)
-        length = np.diff(np.r_[first, len(x) - PAD])
+        x, first, length, row = windows(data, offsets)
         # A few windows of each text, at random places of the whole of it.
         chance = np.lexsort((rng.random(len(row)), row))
         rank = np.arange(len(row)) - np.searchsorted(row, row[chance])

@@ -33,6 +33,8 @@ from .common import crc_mod, if_small, keep, text_or_empty
 
 #: The largest number of labelled texts that are learned from.
 SAMPLE = 6000
+#: How many numbers describe a text.
+STATISTICS = 17
 #: Bounds of a prior's weight, in documents.
 PRIOR = (1.0, 1e6)
 _SYMBOL, _DIGIT, _UPPER, _NOT_LINE = (np.zeros(256, bool) for _ in range(4))
@@ -77,7 +79,7 @@ class Evidence:
     """Logistic regression on standardised statistics."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(17), np.ones(17))
+        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(STATISTICS), np.ones(STATISTICS))
         self.weights = np.zeros(len(self.mean) + 1)
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         self.weights[-1] = np.log(share / (1 - share))
@@ -137,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     chosen = docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(marks), key).select("text", "y")
     sample = chosen.mapInArrow(described, "x array<double>, y double").toPandas()
     # Rows arrive in any order; a fixed one makes the fit repeatable.
-    x = np.array(sample["x"].tolist(), float).reshape(len(sample), -1)
+    x = np.array(sample["x"].tolist(), float).reshape(len(sample), STATISTICS)
     y = sample["y"].to_numpy(float)
     order = np.lexsort(np.c_[x, y].T) if len(y) else slice(None)
     model = docs.sparkSession.sparkContext.broadcast(Evidence(x[order], y[order]))
