@@ -33,9 +33,7 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
     n = F.length(text)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     rows = docs.select(key, F.col(text).alias("_t"), F.posexplode(starts).alias("part", "start"))
-    out = rows.select(key, "part", F.substring("_t", F.col("start") + 1, F.lit(size)).alias("chunk"), "start", F.length("_t").alias("_n"))
-    # A window that the one before holds entirely says nothing new.
-    return out.filter((F.col("start") == 0) | (F.col("start") + (size - step) < F.col("_n"))).drop("_n")
+    return rows.select(key, "part", F.substring("_t", F.col("start") + 1, F.lit(size)).alias("chunk"), "start")
 
 
 def greedy_chunks(pieces: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import answers, corpus, evaluation, graph, retrieval, usage  # noqa: F401
+    from . import answers, blocks, corpus, evaluation, graph, history, retrieval, usage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
