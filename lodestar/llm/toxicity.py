@@ -39,7 +39,7 @@ from .common import crc_mod, text_or_empty
 
 BITS, DIMENSIONS, SIZES = 18, 4, (3, 4, 5, 6)
 #: The largest number of labelled texts that are learned from, and of bytes in one of them.
-SAMPLE, SAMPLE_TEXT = 3200, 1 << 18
+SAMPLE, SAMPLE_TEXT = 3200, 1 << 15
 #: Bytes of half a passage; passages overlap by a half.
 CELL = 16
 #: Passages without toxic words that a round learns from: at random, and those that the last round took to be the most toxic.
@@ -153,7 +153,10 @@ class Passages:
             counts.append(np.minimum(n, 255).astype(np.uint8))
             lengths.append(np.diff(np.r_[start, len(key)]))
             rows.append(a + np.searchsorted(first, cell[start], "right") - 1)
-        self.buckets, self.counts = np.concatenate([np.zeros(0, np.uint32), *buckets]), np.concatenate([np.zeros(0, np.uint8), *counts])
+        self.buckets = np.concatenate([np.zeros(0, np.uint32), *buckets])
+        buckets.clear()  # the driver holds the sample once
+        self.counts = np.concatenate([np.zeros(0, np.uint8), *counts])
+        counts.clear()
         self.to = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))].astype(np.int64)
         self.row = np.concatenate([np.zeros(0, np.int64), *rows])
         self.common = np.bincount(self.buckets, minlength=1 << BITS) >= MIN_COUNT
