@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes that separate words: the class [\x20\x09-\x0D].
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
