@@ -48,9 +48,9 @@ SIZE, PERCENT = 5, 75
 #: Second-level partitions of a band, as a share of the largest difference that must be tolerated.
 SPREAD = 1.25
 #: Sets that share a signature are paired up to this number; larger groups are dealt with as the docstring says.
-SMALL = 32
+SMALL = 16
 #: Signatures in one bucket of the shuffle, and those that a task holds before it hands them on.
-BUCKET_SIGNATURES, FLUSH_SIGNATURES = 1_500_000, 3_000_000
+BUCKET_SIGNATURES, FLUSH_SIGNATURES = 1_500_000, 1_500_000
 VERIFY_NODES = 2000
 TILE_NODES = 1500
 U64 = np.uint64
@@ -134,25 +134,25 @@ def _deal(size: int, bands: Bands, buckets: int):
     """Signatures of all sets, as packed columns by bucket: 5 bytes of hash and one of the band each, and its set's place in the list of sets."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, tags, nodes = [], [], [], []
+        sigs, owners, tags, nodes, sizes = [], [], [], [], []
         held = known = 0
 
         def flush() -> pa.RecordBatch:
-            sig, owner, tag, node = np.concatenate(sigs), np.concatenate(owners), np.concatenate(tags), np.concatenate(nodes)
+            sig, owner, tag, node, many = (np.concatenate(x) for x in (sigs, owners, tags, nodes, sizes))
             to = (sig % U64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             sig, owner, tag, to = sig[order], owner[order], tag[order], to[order]
             start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             stop = np.r_[start[1:], len(to)]
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for a, b in zip(start.tolist(), stop.tolist(), strict=True):
                 mine, place = np.unique(owner[a:b], return_inverse=True)
                 six = np.empty((b - a, 6), np.uint8)
                 six[:, :5] = (sig[a:b] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
                 six[:, 5] = tag[a:b]
-                for x, y in zip(out, (int(to[a]), six.tobytes(), place.astype(np.uint32 if len(mine) > 65535 else np.uint16).tobytes(), node[mine].tobytes()), strict=True):
+                for x, y in zip(out, (int(to[a]), six.tobytes(), place.astype(np.uint32 if len(mine) > 65535 else np.uint16).tobytes(), node[mine].tobytes(), many[mine].tobytes()), strict=True):
                     x.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["bucket", "sigs", "places", "nodes"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["bucket", "sigs", "places", "nodes", "sizes"])
 
         for batch in batches:
             for _, _, values, to in _sets(batch.column(0), size):
@@ -163,16 +163,17 @@ def _deal(size: int, bands: Bands, buckets: int):
                 band = bands.of(n[rows])
                 more = bands.partner(n[rows]) > bands.high[band]
                 for r, c in ((rows, band), (rows[more], band[more] + 1)):
-                    sig, who, _ = _signatures(values, to, r, c, bands)
+                    sig, who, full = _signatures(values, to, r, c, bands)
                     sigs.append(sig)
                     owners.append(known + who)
                     tags.append(c[who].astype(np.uint8))
                     nodes.append(node[r])
+                    sizes.append(n[r] | (bands.parts[c] - full) << 32)
                     known += len(r)
                     held += len(sig)
                 if held >= FLUSH_SIGNATURES:
                     yield flush()
-                    sigs, owners, tags, nodes = [], [], [], []
+                    sigs, owners, tags, nodes, sizes = [], [], [], [], []
                     held = known = 0
         if held:
             yield flush()
@@ -180,47 +181,70 @@ def _deal(size: int, bands: Bands, buckets: int):
     return deal
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of sets in small groups with the number of their common signatures, and per set the number of its frequent ones."""
-    sig, node = [], []
-    for six, places, nodes in zip(*(table.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+def _meet(bands: Bands, table: pa.Table) -> pa.Table:
+    """Of one bucket: pairs of sets in small groups with the number of their common signatures, and per set the number of its frequent ones.
+
+    Sets whose sizes alone keep them apart form no pair, and a pair counts in
+    one index only, that of the larger set's band. `need` is the number of
+    common signatures that the pair must have in all.
+    """
+    percent = bands.percent
+    sig, node, size = [], [], []
+    for six, places, nodes, sizes in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
         eight = np.zeros((len(six) // 6, 8), np.uint8)
         eight[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
         own = np.frombuffer(nodes, np.int64)
         sig.append(eight.reshape(-1).view(U64))
-        node.append(own[np.frombuffer(places, np.uint32 if len(places) // max(1, len(eight)) == 4 else np.uint16)])
-    sig, node = np.concatenate(sig), np.concatenate(node)
+        place = np.frombuffer(places, np.uint32 if len(places) // max(1, len(eight)) == 4 else np.uint16)
+        node.append(own[place])
+        size.append(np.frombuffer(sizes, np.int64)[place])
+    sig, node, size = np.concatenate(sig), np.concatenate(node), np.concatenate(size)
     order = np.argsort(sig)
     sig = sig[order]
     same = sig[1:] == sig[:-1]
     twice = np.r_[same, False] | np.r_[False, same]
-    sig, node = sig[twice], node[order][twice]
+    sig, order = sig[twice], order[twice]
+    node, size = node[order], size[order]
     order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, size = sig[order], node[order], size[order]
     if len(sig):
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[fresh], node[fresh]
+        sig, node, size = sig[fresh], node[fresh], size[fresh]
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(sig)])
     band = (sig >> U64(40)).astype(np.int32)
-    us, vs, bs = [], [], []
+    size, empty = size & 0xFFFFFFFF, size >> 32
+    own = bands.of(size)
+    us, vs, bs, ns = [], [], [], []
     for n in range(2, SMALL + 1):
         at = start[count == n]
         if len(at):
             i, j = np.triu_indices(n, 1)
-            us.append(node[(at[:, None] + i).ravel()])
-            vs.append(node[(at[:, None] + j).ravel()])
-            bs.append(np.repeat(band[at], len(i)))
+            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            near = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.maximum(own[i], own[j]) == band[i])
+            us.append(node[i[near]])
+            vs.append(node[j[near]])
+            bs.append(band[i[near]])
+            i, j = i[near], j[near]
+            ns.append(bands.parts[band[i]] - (100 - percent) * (size[i] + size[j]) // (100 + percent) - np.minimum(empty[i], empty[j]))
     hot = np.flatnonzero(np.repeat(count > SMALL, count))
     parts = []
-    for u, v, b, pair in ((np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs]), np.concatenate([np.zeros(0, np.int32), *bs]), True), (node[hot], node[hot], band[hot], False)):
+    join_up = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+    for u, v, b, need, pair in ((join_up(us, np.int64), join_up(vs, np.int64), join_up(bs, np.int32), join_up(ns, np.int64), True), (node[hot], node[hot], band[hot], empty[hot], False)):
         order = np.lexsort((v, u, b))
-        u, v, b = u[order], v[order], b[order]
+        u, v, b, need = u[order], v[order], b[order], need[order]
         at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (b[1:] != b[:-1])]) if len(u) else np.zeros(0, np.int64)
-        parts.append(pa.table({"u": u[at], "v": pa.array(v[at], mask=np.full(len(at), not pair)), "band": b[at], "n": np.diff(np.r_[at, len(u)]).astype(np.int32)}))
+        parts.append(pa.table({"u": u[at], "v": pa.array(v[at], mask=np.full(len(at), not pair)), "band": b[at], "n": np.diff(np.r_[at, len(u)]).astype(np.int32), "need": need[at].astype(np.int32)}))
     return pa.concat_tables(parts)
 
 
+def _meeting(bands: Bands):
+    def meet(table: pa.Table) -> pa.Table:
+        return _meet(bands, table)
+
+    return meet
+
+
 def _set_rows(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,32 +363,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     body = docs.select(text_or_empty(text).alias("text"))
     expected = info.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
     buckets = pieces(expected, BUCKET_SIGNATURES)
-    met = keep(body.mapInArrow(_deal(size, bands, buckets), "bucket int, sigs binary, places binary, nodes binary").groupBy("bucket").applyInArrow(_meet, "u long, v long, band int, n int"), "met")
+    met = keep(body.mapInArrow(_deal(size, bands, buckets), "bucket int, sigs binary, places binary, nodes binary, sizes binary").groupBy("bucket").applyInArrow(_meeting(bands), "u long, v long, band int, n int, need int"), "met")
 
     # Two rows a set: what it has in each of its two indexes.
     partner = F.floor(F.col("m") * 100 / percent)
     parts = F.array(*(F.lit(int(x)) for x in bands.parts))
     highs = F.array(*(F.lit(int(x)) for x in bands.high))
     index = info.select("node", "m", F.explode(F.array(F.struct(F.col("own").alias("band"), F.col("empty0").alias("empty"), F.lit(True).alias("used")), F.struct((F.col("own") + 1).alias("band"), F.col("empty1").alias("empty"), (partner > F.get(highs, F.col("own"))).alias("used")))).alias("i"), "own").filter("i.used")
-    hot = met.filter("v is null").groupBy(F.col("u").alias("node"), "band").agg(F.sum("n").alias("hot"))
+    hot = keep(met.filter("v is null").groupBy(F.col("u").alias("node"), "band").agg(F.sum("n").alias("hot")), "hot")
     index = index.select("node", "m", "own", F.col("i.band").alias("band"), F.col("i.empty").alias("empty")).join(hot, ["node", "band"], "left").fillna(0, ["hot"])
     index = keep(index.withColumn("parts", F.get(parts, F.col("band"))), "index")
     hard = index.filter(F.col("parts") - _difference(F.col("m"), partner, percent) - F.col("empty") - F.col("hot") <= 0).select("node").distinct()
-    pairs = met.filter("v is not null").groupBy("u", "v", "band").agg(F.sum("n").alias("n"))
-    of = lambda side: index.select(F.col("node").alias(side), "band", *(F.col(c).alias(f"{c}_{side}") for c in ("m", "own", "empty", "hot")), *(["parts"] if side == "u" else []))
-    pairs = pairs.join(of("u"), ["u", "band"]).join(of("v"), ["v", "band"])
-    least = lambda c: F.least(f"{c}_u", f"{c}_v")
-    pairs = pairs.filter(
-        (F.col("band") == F.greatest("own_u", "own_v")) & (100 * least("m") >= percent * F.greatest("m_u", "m_v"))
-        & (F.col("n") + least("hot") + least("empty") >= F.col("parts") - _difference(F.col("m_u"), F.col("m_v"), percent))
-    )
-    pairs = keep(pairs.select("u", "v").distinct(), "pairs")
+    pairs = keep(met.filter("v is not null").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.first("need").alias("need")), "counted")
+    # Only sets with frequent signatures can share more than was counted.
+    few = pairs.filter("n < need")
+    for side in ("u", "v"):
+        few = few.join(hot.select(F.col("node").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"])
+    few = few.filter(F.col("n") + F.least("hot_u", "hot_v") >= F.col("need"))
+    pairs = keep(pairs.filter("n >= need").select("u", "v").union(few.select("u", "v")), "pairs")
     hard = keep(hard, "hard")
 
     need = keep(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(hard).distinct().join(info.select("node", "rep"), "node"), "need")
     n_need = need.count()
     wanted = if_small(need.select(F.col("rep").alias("_rep")).distinct(), 16, n_need)
-    texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").select(text_or_empty(text).alias("text"))
+    named = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
+    texts = named.join(wanted, F.col("_key").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     sets = texts.mapInArrow(_set_rows(size), "node long, features binary").join(if_small(need.select("node"), 16, n_need), "node", "left_semi")
     sets = keep(sets.dropDuplicates(["node"]), "sets")
 

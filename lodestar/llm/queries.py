@@ -122,5 +122,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+_OP7 = r"""
+WITH RECURSIVE k AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM k WHERE len(ws) >= 5),
+g AS (SELECT rid, w || chr(1) || lead(w) OVER r || chr(1) || lead(w, 2) OVER r || chr(1) || lead(w, 3) OVER r || chr(1) || lead(w, 4) OVER r AS g FROM p WINDOW r AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT DISTINCT rid, g FROM g WHERE g IS NOT NULL UNION ALL SELECT rid, array_to_string(ws, chr(1)) FROM k WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * both_n >= 75 * (na.n + nb.n - both_n)),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT k.doc_id, coalesce(n.n, 0) AS n_shingles, least(k.doc_id, (SELECT min(o.doc_id) FROM reach r JOIN k o ON o.rid = r.b WHERE r.a = k.rid)) AS component_id
+FROM k LEFT JOIN n USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op6_chat_format": _OP6, "op9_quality_rules": _op9()}
+    return {"op7_jaccard_join": _OP7, "op2_warc": _OP2, "op6_chat_format": _OP6, "op9_quality_rules": _op9()}
