@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from .common import crc_mod, text_or_empty
 
 BITS, DIMENSIONS, SIZES = 18, 4, (3, 4, 5, 6)
 #: The largest number of labelled texts that are learned from, and of bytes in one of them.
-SAMPLE, SAMPLE_TEXT = 3200, 1 << 15
+SAMPLE, SAMPLE_TEXT = 2400, 1 << 14
 #: Bytes of half a passage; passages overlap by a half.
 CELL = 16
 #: Passages without toxic words that a round learns from: at random, and those that the last round took to be the most toxic.
@@ -141,22 +142,23 @@ class Passages:
     """Bags of all passages (two cells, not overlapping) of a bounded sample: buckets and counts by passage, and each passage's text."""
 
     def __init__(self, column: pa.Array):
-        buckets, counts, lengths, rows = [], [], [], []
-        for a, _, data, offsets in vec.blocks(column):
+        lengths, rows = [], []
+        # Room for all n-grams at once: the driver holds the sample in one copy.
+        room = len(SIZES) * (int(pc.sum(pc.binary_length(column)).as_py() or 0) + 2 * len(column))
+        self.buckets, self.counts, n_all = np.empty(room, np.uint32), np.empty(room, np.uint8), 0
+        for a, _, data, offsets in vec.blocks(column, 1 << 17):
             first, each = cells(data, offsets)
             cell, bucket = (np.concatenate(x) for x in zip(*each, strict=True))
             row = np.searchsorted(first, cell, "right") - 1
             key, n = np.unique((cell - (cell - first[row]) % 2).astype(np.int64) << BITS | bucket, return_counts=True)
             cell = key >> BITS
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(key) else np.zeros(0, np.int64)
-            buckets.append((key & ((1 << BITS) - 1)).astype(np.uint32))
-            counts.append(np.minimum(n, 255).astype(np.uint8))
+            self.buckets[n_all : n_all + len(key)] = key & ((1 << BITS) - 1)
+            self.counts[n_all : n_all + len(key)] = np.minimum(n, 255)
+            n_all += len(key)
             lengths.append(np.diff(np.r_[start, len(key)]))
             rows.append(a + np.searchsorted(first, cell[start], "right") - 1)
-        self.buckets = np.concatenate([np.zeros(0, np.uint32), *buckets])
-        buckets.clear()  # the driver holds the sample once
-        self.counts = np.concatenate([np.zeros(0, np.uint8), *counts])
-        counts.clear()
+        self.buckets, self.counts = self.buckets[:n_all], self.counts[:n_all]
         self.to = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))].astype(np.int64)
         self.row = np.concatenate([np.zeros(0, np.int64), *rows])
         self.common = np.bincount(self.buckets, minlength=1 << BITS) >= MIN_COUNT
@@ -171,8 +173,8 @@ class Passages:
 
     def logits(self, numbers: np.ndarray, bias: float) -> np.ndarray:
         out = np.empty(len(self.row))
-        for a in range(0, len(out), 20000):
-            b = min(a + 20000, len(out))
+        for a in range(0, len(out), 4000):
+            b = min(a + 4000, len(out))
             owner, index, share = self.take(np.arange(a, b))
             out[a:b] = np.bincount(owner, share * numbers[index], b - a)
         return out + bias
@@ -201,28 +203,35 @@ def scores(column: pa.Array, numbers: np.ndarray, bias: float, curve: np.ndarray
     return 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Weights and shift of a logistic curve from a text's features to the probability of label 1 (Newton steps, light ridge)."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     start = np.array([1.0, 0.0, 0.0, 0.0])
     w = start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * (w - start)), -1, 1)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
+        w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * (w - start)), -1, 1)
     return w
 
 
-def train(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float, np.ndarray]:
-    """Numbers by bucket, bias and calibrating curve. Four fifths of the labelled texts train the model, the rest calibrate it."""
+def train(texts: pa.Array, labels: np.ndarray, positive: float | None = None, seed: int = 0) -> tuple[np.ndarray, float, np.ndarray]:
+    """Numbers by bucket, bias and calibrating curve. Four fifths of the labelled texts train the model, the rest calibrate it.
+
+    `positive` is the share of label 1 among all labelled texts, if the sample has another.
+    """
     if len(np.unique(labels)) == 2:
         own = np.arange(len(labels)) % 5 == 0
         if len(np.unique(labels[own])) < 2 or len(np.unique(labels[~own])) < 2:
             own[:] = True
         rest = ~own if not own.all() else own
+        weight = np.ones(len(labels))
+        if positive:
+            drawn = labels[own].mean()
+            weight = np.where(labels == 1, positive / drawn, (1 - positive) / (1 - drawn))
         numbers, bias = learn(texts.take(pa.array(np.flatnonzero(rest))), labels[rest], seed)
         held = np.flatnonzero(own)
-        return numbers, bias, calibrate(text_features(texts.take(pa.array(held)), numbers, bias), labels[held])
+        return numbers, bias, calibrate(text_features(texts.take(pa.array(held)), numbers, bias), labels[held], weight[held])
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     return np.zeros(1 << BITS, np.float32), 0.0, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
 
@@ -251,14 +260,18 @@ def learn(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarra
     raise AssertionError
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, condition: Column, bound: int = SAMPLE) -> DataFrame:
-    """At most `bound` labelled rows (text, y), chosen by a hash of the id, as evenly from all labelled rows as the hash is."""
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, condition: Column, bound: int = SAMPLE) -> tuple[DataFrame, float]:
+    """At most `bound` labelled rows (key, text, y), half of each label as far as there are so many, chosen by a hash of the id; and the share of label 1 among all."""
     marks = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(key).isNotNull() & condition).dropDuplicates([key])
-    n = marks.count()
-    marks = marks.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * bound / max(1, n)))).orderBy(F.xxhash64(key)).limit(bound)
-    # No more than `bound` rows, so a broadcast of bounded size.
+    n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    parts = []
+    for y in (0, 1):
+        share = min(1.0, 1.1 * (bound // 2) / max(1, n.get(y, 0)))
+        own = marks.filter((F.col("y") == y) & (F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * share)))
+        parts.append(own.orderBy(F.xxhash64(key)).limit(bound // 2))
     texts = docs.select(F.col(key), text_or_empty(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT)
-    return texts.join(F.broadcast(marks), key).select(key, "text", "y")
+    # No more than `bound` rows, so a broadcast of bounded size.
+    return texts.join(F.broadcast(parts[0].union(parts[1])), key).select(key, "text", "y"), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -267,14 +280,16 @@ def held_out(key: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE) -> DataFrame:
     """(key, held_out, score, predicted) for every row of `docs`, learned from labels of rows that are not held out."""
-    sample = labelled(docs, labels, key, text, label, ~held_out(key), bound).orderBy(key).toArrow()
-    fitted = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array(sample["y"].to_pylist(), int))
+    sample, positive = labelled(docs, labels, key, text, label, ~held_out(key), bound)
+    sample = sample.orderBy(F.xxhash64(key), "text").toArrow()
+    fitted = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array(sample["y"].to_pylist(), int), positive)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), *model.value))], names=[key, "score"])
+        vec.tidy()
 
     scored = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(score, f"{key} {kind}, score double")
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
