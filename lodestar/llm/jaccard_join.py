@@ -126,12 +126,13 @@ def classes(docs: DataFrame, key: str, text: str, size: int, bands: Bands) -> Da
                     [batch.column(0).slice(a, b - a), pa.array(n), pa.array(node, mask=n == 0), pa.array(band.astype(np.int32)), pa.array(empty[0].astype(np.int32)), pa.array(empty[1].astype(np.int32))],
                     names=[key, "n_shingles", "node", "band", "empty0", "empty1"],
                 )
+        vec.tidy()
 
     return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(build, f"{key} {kind}, n_shingles long, node long, band int, empty0 int, empty1 int")
 
 
 def _deal(size: int, bands: Bands, buckets: int):
-    """Signatures of all sets, as packed columns by bucket: 5 bytes of hash and one of the band each, and its set's place in the list of sets."""
+    """Signatures of all sets, as packed columns by bucket: 5 bytes of hash each, and twice its set's place in the list of sets, plus 1 in the index above the set's own band."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners, tags, nodes, sizes = [], [], [], [], []
@@ -142,15 +143,17 @@ def _deal(size: int, bands: Bands, buckets: int):
             to = (sig % U64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             sig, owner, tag, to = sig[order], owner[order], tag[order], to[order]
+            many, empty = many & 0xFFFFFFFF, many >> 32
+            narrow = np.uint16 if len(many) and max(many.max(), empty.max()) < 1 << 16 else np.uint32
             start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             stop = np.r_[start[1:], len(to)]
             out: list[list] = [[], [], [], [], []]
             for a, b in zip(start.tolist(), stop.tolist(), strict=True):
                 mine, place = np.unique(owner[a:b], return_inverse=True)
-                six = np.empty((b - a, 6), np.uint8)
-                six[:, :5] = (sig[a:b] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-                six[:, 5] = tag[a:b]
-                for x, y in zip(out, (int(to[a]), six.tobytes(), place.astype(np.uint32 if len(mine) > 65535 else np.uint16).tobytes(), node[mine].tobytes(), many[mine].tobytes()), strict=True):
+                five = np.ascontiguousarray((sig[a:b] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+                place = (2 * place + tag[a:b]).astype(np.uint16 if len(mine) < 1 << 15 else np.uint32)
+                sizes_of = np.stack([many[mine], empty[mine]]).astype(narrow)
+                for x, y in zip(out, (int(to[a]), five.tobytes(), place.tobytes(), node[mine].tobytes(), sizes_of.tobytes()), strict=True):
                     x.append(y)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["bucket", "sigs", "places", "nodes", "sizes"])
 
@@ -162,11 +165,11 @@ def _deal(size: int, bands: Bands, buckets: int):
                 rows = rows[n[rows] > 0]
                 band = bands.of(n[rows])
                 more = bands.partner(n[rows]) > bands.high[band]
-                for r, c in ((rows, band), (rows[more], band[more] + 1)):
+                for step, r, c in ((0, rows, band), (1, rows[more], band[more] + 1)):
                     sig, who, full = _signatures(values, to, r, c, bands)
                     sigs.append(sig)
                     owners.append(known + who)
-                    tags.append(c[who].astype(np.uint8))
+                    tags.append(np.full(len(sig), step, np.int64))
                     nodes.append(node[r])
                     sizes.append(n[r] | (bands.parts[c] - full) << 32)
                     known += len(r)
@@ -177,6 +180,8 @@ def _deal(size: int, bands: Bands, buckets: int):
                     held = known = 0
         if held:
             yield flush()
+        del sigs, owners, tags, nodes, sizes
+        vec.tidy()
 
     return deal
 
@@ -189,39 +194,42 @@ def _meet(bands: Bands, table: pa.Table) -> pa.Table:
     common signatures that the pair must have in all.
     """
     percent = bands.percent
-    sig, node, size = [], [], []
-    for six, places, nodes, sizes in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-        eight = np.zeros((len(six) // 6, 8), np.uint8)
-        eight[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    sig, node, size, empty, upper = [], [], [], [], []
+    for five, places, nodes, sizes in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+        n = len(five) // 5
+        eight = np.zeros((n, 8), np.uint8)
+        eight[:, :5] = np.frombuffer(five, np.uint8).reshape(-1, 5)
         own = np.frombuffer(nodes, np.int64)
+        place = np.frombuffer(places, np.uint32 if len(places) == 4 * n else np.uint16)
+        both = np.frombuffer(sizes, np.uint16 if len(sizes) == 4 * len(own) else np.uint32).reshape(2, -1).astype(np.int64)
         sig.append(eight.reshape(-1).view(U64))
-        place = np.frombuffer(places, np.uint32 if len(places) // max(1, len(eight)) == 4 else np.uint16)
+        upper.append((place & 1).astype(np.int8))
+        place = place >> 1
         node.append(own[place])
-        size.append(np.frombuffer(sizes, np.int64)[place])
-    sig, node, size = np.concatenate(sig), np.concatenate(node), np.concatenate(size)
+        size.append(both[0][place])
+        empty.append(both[1][place])
+    sig, node, size, empty, upper = (np.concatenate(x) for x in (sig, node, size, empty, upper))
     order = np.argsort(sig)
     sig = sig[order]
     same = sig[1:] == sig[:-1]
     twice = np.r_[same, False] | np.r_[False, same]
     sig, order = sig[twice], order[twice]
-    node, size = node[order], size[order]
-    order = np.lexsort((node, sig))
-    sig, node, size = sig[order], node[order], size[order]
+    order = order[np.lexsort((node[order], sig))]
+    sig, node, size, empty, upper = np.sort(sig), node[order], size[order], empty[order], upper[order]
     if len(sig):
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node, size = sig[fresh], node[fresh], size[fresh]
+        sig, node, size, empty, upper = (x[fresh] for x in (sig, node, size, empty, upper))
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(sig)])
-    band = (sig >> U64(40)).astype(np.int32)
-    size, empty = size & 0xFFFFFFFF, size >> 32
     own = bands.of(size)
+    band = (own + upper).astype(np.int32)
     us, vs, bs, ns = [], [], [], []
     for n in range(2, SMALL + 1):
         at = start[count == n]
         if len(at):
             i, j = np.triu_indices(n, 1)
             i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            near = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.maximum(own[i], own[j]) == band[i])
+            near = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.maximum(own[i], own[j]) == band[i]) & (band[i] == band[j])
             us.append(node[i[near]])
             vs.append(node[j[near]])
             bs.append(band[i[near]])
@@ -240,7 +248,9 @@ def _meet(bands: Bands, table: pa.Table) -> pa.Table:
 
 def _meeting(bands: Bands):
     def meet(table: pa.Table) -> pa.Table:
-        return _meet(bands, table)
+        out = _meet(bands, table)
+        vec.tidy()
+        return out
 
     return meet
 
@@ -251,6 +261,7 @@ def _set_rows(size: int):
             for _, _, values, to in _sets(batch.column(0), size):
                 some = np.flatnonzero(np.diff(to))
                 yield pa.RecordBatch.from_arrays([pa.array(vec.set_hash(values, to).view(np.int64)[some]), pa.array([values[to[i] : to[i + 1]].tobytes() for i in some.tolist()], pa.binary())], names=["node", "features"])
+        vec.tidy()
 
     return rows
 
