@@ -157,6 +157,7 @@ def gram_frequency(docs: DataFrame, items: Items, text: str, size: int) -> DataF
                     pair = np.unique(np.stack([row[p], np.searchsorted(own.all, g[p])]), axis=1)
                     total += np.bincount(pair[1], minlength=len(total))
         some = np.flatnonzero(total)
+        vec.tidy()
         yield pa.RecordBatch.from_arrays([pa.array(own.all[some].view(np.int64)), pa.array(total[some])], names=["gram", "df"])
 
     return docs.select(text_or_empty(text).alias("text")).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
@@ -195,6 +196,7 @@ def _align(key: str, items: Items, seeds: Seeds, size: int, min_score: float, mi
             if rows:
                 place, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.float64()), *(pa.array(c, pa.int64()) for c in rest[2:])], names=names)
+        vec.tidy()
 
     return align
 

@@ -201,6 +201,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 p = applied.probabilities(batch.column(1))
                 names, score = np.array(applied.languages, object)[p.argmax(1)] if len(p) else np.zeros(0, object), p.max(1) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(letter, names, UNKNOWN), pa.string()), pa.array(np.where(letter, score, 0.0))], names=[key, "lang_pred", "score"])
+        vec.tidy()
 
     rows = docs.select(F.col(key), text_or_empty(text).alias("text"), text_or_empty(text).rlike(r"\p{L}").alias("letter"))
     found = rows.mapInArrow(predict, f"{key} {kind}, lang_pred string, score double")

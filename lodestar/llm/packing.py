@@ -26,9 +26,11 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vec
 from .common import bucket, pieces, text_or_empty
 
 CAPACITY = 1024
@@ -82,15 +84,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= limit:
+def _runs(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `limit` bytes."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= limit:
             yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _cut(path: str, capacity: int, key_type: pa.DataType, schema: pa.Schema):
@@ -98,10 +101,11 @@ def _cut(path: str, capacity: int, key_type: pa.DataType, schema: pa.Schema):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _runs(texts):
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for a, b in _runs(sizes):
                 rows: list[tuple] = []
-                for key, ids in zip(keys[a:b], encoder(path).encode(texts[a:b]), strict=True):
+                keys, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+                for key, ids in zip(keys, encoder(path).encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
@@ -109,6 +113,7 @@ def _cut(path: str, capacity: int, key_type: pa.DataType, schema: pa.Schema):
                         full = len(part) == 4 * capacity
                         rows.append((key, start, len(part) // 4, zlib.crc32(part), n, None if full else part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        vec.tidy()
 
     return cut
 

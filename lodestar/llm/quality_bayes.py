@@ -148,6 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(model.value.logits(batch.column(3)))], names=[key, "host", "path", "logit"])
+        vec.tidy()
 
     rows = docs.select(F.col(key), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), text_or_empty(text).alias("text"))
     seen = keep(rows.mapInArrow(weigh, f"{key} {kind}, host string, path string, logit double").withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))), "evidence")

@@ -7,6 +7,8 @@ by its single longest text, never by the number of rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,13 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system; worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U64(33))
