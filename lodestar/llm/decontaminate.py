@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Item and document words (letters and digits, in lower case) are compared by
-hash. All n-grams of the items are looked up in all documents; their document
-frequencies in the whole corpus are counted, and an n-gram that stands in more
-documents than `rare` is no seed, unless an item has no rarer one. Each document passage around
+hash. All n-grams of the items are looked up in all documents, and every one is
+a seed, however many documents hold it. Each document passage around
 the seeds of an item is aligned with the item by Smith-Waterman, word by word,
 which scores exact, edited and paraphrased copies alike. The score is the
 best local alignment's share of a perfect one.
 
-The items' n-grams are broadcast when their size, which is checked, is small;
-otherwise documents' n-grams meet them in a shuffled join.
+The items and their n-grams are broadcast; a benchmark whose size, which is
+checked, is not small is taken in parts.
 
 Defined cases: null texts, and texts with no words, match nothing; an item
 with fewer than `size` words is sought as a whole; repeated rows of documents
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,6 @@ from . import vec
 from .common import BROADCAST_BYTES, keep, text_or_empty
 
 SIZE = 5
-#: An n-gram in more documents than this share of the corpus (and than RARE_LEAST) is no seed.
-RARE_SHARE, RARE_LEAST = 1e-3, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect alignment, and least number of words in the item's aligned part.
 MIN_SCORE, MIN_WORDS = 0.5, 8
@@ -86,27 +84,14 @@ class Items:
         self.grams = [np.unique(g) for g in grams]
         #: Shorter items are sought as whole sequences, of each length that occurs.
         self.short = sorted({len(w) for w in words if 0 < len(w) < size})
-        self.all = np.unique(np.concatenate([np.zeros(0, U64), *self.grams]))
-
-    def nbytes(self) -> int:
-        return sum(8 * len(w) for w in self.words) + 24 * len(self.all)
 
 
 class Seeds:
     """N-grams that seed an item, as sorted arrays: gram, item."""
 
-    def __init__(self, items: Items, frequency: dict[int, int], rare: int):
-        gram, owner = [], []
-        for i, own in enumerate(items.grams):
-            if not len(own):
-                continue
-            df = np.array([frequency.get(int(g), 0) for g in own.view(np.int64)])
-            chosen = own[(df > 0) & (df <= rare)]
-            if not len(chosen):
-                chosen = own[(df > 0) & (df == df[df > 0].min())] if (df > 0).any() else own[:0]
-            gram.append(chosen)
-            owner.append(np.full(len(chosen), i))
-        gram, owner = np.concatenate([np.zeros(0, U64), *gram]), np.concatenate([np.zeros(0, np.int64), *owner])
+    def __init__(self, items: Items):
+        gram = np.concatenate([np.zeros(0, U64), *items.grams])
+        owner = np.repeat(np.arange(len(items.grams)), [len(g) for g in items.grams])
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner = gram[order], owner[order]
         self.distinct = np.unique(self.gram)
@@ -143,39 +128,20 @@ def _with_short(column: pa.Array, items: Items, size: int) -> Iterator[tuple[int
         yield a, b, h, at, *(np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
 
 
-def gram_frequency(docs: DataFrame, items: Items, text: str, size: int) -> DataFrame:
-    """(gram, df): in how many of all documents each n-gram of an item stands."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        sieve, total = Sieve(own.all), np.zeros(len(own.all), np.int64)
-        for batch in batches:
-            for _, _, _, _, g, row, _ in _with_short(batch.column(0), own, size):
-                p = sieve.places(g)
-                if len(p):
-                    pair = np.unique(np.stack([row[p], np.searchsorted(own.all, g[p])]), axis=1)
-                    total += np.bincount(pair[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        vec.tidy()
-        yield pa.RecordBatch.from_arrays([pa.array(own.all[some].view(np.int64)), pa.array(total[some])], names=["gram", "df"])
-
-    return docs.select(text_or_empty(text).alias("text")).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
-def _align(key: str, items: Items, seeds: Seeds, size: int, min_score: float, min_words: int):
+def _align(key: str, items: Broadcast, size: int, min_score: float, min_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rare = items.value, seeds.value
-        sieve = Sieve(rare.distinct)
+        own = items.value
+        seeds = Seeds(own)
+        sieve = Sieve(seeds.distinct)
         names = [key, "item", "score", "matched_words", "first_word", "end_word", "n_seeds"]
         for batch in batches:
             keys = batch.column(0)
             rows: list[tuple] = []
             for a, _, h, at, g, row, first in _with_short(batch.column(1), own, size):
                 p = sieve.places(g)
-                lo, hi = np.searchsorted(rare.gram, g[p], "left"), np.searchsorted(rare.gram, g[p], "right")
+                lo, hi = np.searchsorted(seeds.gram, g[p], "left"), np.searchsorted(seeds.gram, g[p], "right")
                 n = hi - lo
-                item = rare.owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(p) else np.zeros(0, np.int64)
+                item = seeds.owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(p) else np.zeros(0, np.int64)
                 hits = np.lexsort((np.repeat(first[p], n), item, np.repeat(row[p], n)))
                 r, i, w = np.repeat(row[p], n)[hits], item[hits], np.repeat(first[p], n)[hits]
                 if not len(r):
@@ -211,17 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     bench = benchmark.select(F.col(item_key).alias("item_id"), text_or_empty(item_text).alias("text")).distinct()
     weight = bench.agg(F.coalesce(F.sum(F.octet_length("text") * 4 + 64), F.lit(0)).alias("b")).first()["b"]
     parts = max(1, -(-weight // BROADCAST_BYTES))
-    n_docs = docs.count()
-    rare = max(RARE_LEAST, int(RARE_SHARE * n_docs))
     kind, item_kind = docs.schema[key].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
     found = None
     for part in range(parts):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         items = Items([x["item_id"] for x in rows], [x["text"] for x in rows], size)
-        frequency = {x["gram"]: x["df"] for x in gram_frequency(docs, items, text, size).collect()}
-        seeds = Seeds(items, frequency, rare)
-        shared, chosen = spark.sparkContext.broadcast(items), spark.sparkContext.broadcast(seeds)
-        hits = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(_align(key, shared, chosen, size, min_score, min_words), f"{key} {kind}, item long, score double, matched_words long, first_word long, end_word long, n_seeds long")
+        shared = spark.sparkContext.broadcast(items)
+        hits = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(_align(key, shared, size, min_score, min_words), f"{key} {kind}, item long, score double, matched_words long, first_word long, end_word long, n_seeds long")
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item long, item_id {item_kind}")
         named = hits.join(F.broadcast(names), "item").drop("item")
         found = named if found is None else found.union(named)

@@ -56,3 +56,15 @@ def test_copies_are_found_and_others_left_alone(spark):
 def test_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, "one"), (None, None)], "item_id long, text string")
     assert {r["doc_id"] for r in dc.contaminated(edge_docs, bench).collect()} == {4, 5}
+
+
+def test_many_copies_do_not_hide_an_edited_one(spark):
+    """Of each item 60 exact copies and one that is edited, at another place each time."""
+    docs, items = [(1, "nothing of the kind stands here")], []
+    for i in range(15):
+        words = [f"w{i}x{k}" for k in range(15)]
+        items.append((i, " ".join(words)))
+        docs += [(1000 * i + 100 + d, items[i][1]) for d in range(60)]
+        docs.append((1000 * i + 200, " ".join(words[:i] + ["other"] + words[i + 1 :])))
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d // 1000) for d, _ in docs if d > 1}
