@@ -1,14 +1,23 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
+"""Benchmark decontamination: word pairs as seeds, then local alignment.
 
 Item and document words (letters and digits, in lower case) are compared by
-hash. All n-grams of the items are looked up in all documents, and every one is
-a seed, however many documents hold it. Each document passage around
-the seeds of an item is aligned with the item by Smith-Waterman, word by word,
-which scores exact, edited and paraphrased copies alike. The score is the
-best local alignment's share of a perfect one.
+hash. The score is the best local alignment's (Smith-Waterman, word by word)
+share of a perfect one, which scores exact, edited and paraphrased copies
+alike. The seeds lose no pair of document and item that reaches `min_score`:
 
-The items and their n-grams are broadcast; a benchmark whose size, which is
-checked, is not small is taken in parts.
+* an alignment of M words with X errors scores 2M - X. If that is T or more,
+  X <= 2M - T, so its part of the document has at most 3n - T words, for an
+  item of n words;
+* of its M - 1 steps from one matched word to the next, at most X / 2 have two
+  errors or more. Any other step goes one or two words on in the item and one
+  or two in the document, so at least T / 2 - 1 words of the document start a
+  pair, of next words or of next but one, that is also such a pair of the item.
+
+A document is aligned with an item wherever so many of the item's pairs stand
+within so many words, however many documents hold them.
+
+The items are broadcast; a benchmark whose size, which is checked, is not small
+is taken in parts.
 
 Defined cases: null texts, and texts with no words, match nothing; an item
 with fewer than `size` words is sought as a whole; repeated rows of documents
@@ -34,6 +43,8 @@ SIZE = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect alignment, and least number of words in the item's aligned part.
 MIN_SCORE, MIN_WORDS = 0.5, 8
+#: So many items are looked up at once, which bounds how many a frequent pair can lead to.
+SLICE = 1024
 U64 = np.uint64
 
 
@@ -63,38 +74,49 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best, best_from, best_to
 
 
-def _grams(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, word offsets, n-gram hashes, n-gram offsets) by block."""
-    for a, b, data, offsets in vec.blocks(column):
-        h, _, _, at = vec.words(data, offsets, vec.PLAIN_WORD, fold=True)
-        yield a, b, h, at, *vec.shingles(h, at, size)
+def _pairs(h: np.ndarray, distance: int) -> np.ndarray:
+    """The hash of each word with the one `distance` words on; the last words have none."""
+    return vec.mix(h[:-distance] * U64(0xE7037ED1A0B428DB) + h[distance:] * U64(0xA0761D6478BD642F))
 
 
 class Items:
-    """Items of the benchmark and the index of their n-grams."""
+    """Items of the benchmark as word hashes, and how many pairs within how many words a copy has at least."""
 
-    def __init__(self, ids: list, texts: list, size: int = SIZE):
+    def __init__(self, ids: list, texts: list, size: int = SIZE, min_score: float = MIN_SCORE):
         self.ids = ids
-        column = pa.array([x or "" for x in texts], pa.large_string())
-        words, grams = [], []
-        for _, _, h, at, g, to in _grams(column, size):
-            words += [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-            grams += [g[x:y] for x, y in zip(to[:-1], to[1:], strict=True)]
-        self.words = words
-        self.grams = [np.unique(g) for g in grams]
+        self.words = []
+        for _, _, data, offsets in vec.blocks(pa.array([x or "" for x in texts], pa.large_string())):
+            h, _, _, at = vec.words(data, offsets, vec.PLAIN_WORD, fold=True)
+            self.words += [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        n = np.array([len(w) for w in self.words], np.int64)
+        least = np.ceil(MATCH * min_score * n - 1e-9).astype(np.int64)
         #: Shorter items are sought as whole sequences, of each length that occurs.
-        self.short = sorted({len(w) for w in words if 0 < len(w) < size})
+        self.whole = n < size
+        self.short = sorted(set(n[self.whole & (n > 0)].tolist()))
+        self.need = np.where(self.whole, 1, np.maximum(1, -(-least // 2) - 1))
+        self.reach = 3 * n - least
 
 
 class Seeds:
-    """N-grams that seed an item, as sorted arrays: gram, item."""
-
-    def __init__(self, items: Items):
-        gram = np.concatenate([np.zeros(0, U64), *items.grams])
-        owner = np.repeat(np.arange(len(items.grams)), [len(g) for g in items.grams])
+    """Hashes that seed the items from `first` to `stop`, as sorted arrays: gram, item."""
+
+    def __init__(self, items: Items, first: int, stop: int):
+        grams = []
+        for i in range(first, stop):
+            h = items.words[i]
+            grams.append(vec.shingles(h, np.array([0, len(h)]), len(h))[0] if items.whole[i] and len(h) else np.unique(np.concatenate([_pairs(h, 1), _pairs(h, 2)])) if len(h) else h)
+        gram = np.concatenate([np.zeros(0, U64), *grams])
+        owner = np.repeat(np.arange(first, stop), [len(g) for g in grams])
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner = gram[order], owner[order]
-        self.distinct = np.unique(self.gram)
+        self.sieve = Sieve(np.unique(self.gram))
+
+    def hits(self, gram: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of each hash that seeds an item."""
+        p = self.sieve.places(gram)
+        lo, hi = np.searchsorted(self.gram, gram[p], "left"), np.searchsorted(self.gram, gram[p], "right")
+        n = hi - lo
+        return self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(place[p], n)
 
 
 class Sieve:
@@ -114,51 +136,55 @@ class Sieve:
         return at[self.grams[i] == h[at]]
 
 
-def _with_short(column: pa.Array, items: Items, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """As _grams, with n-grams of the lengths of short items added: (..., n-gram hashes, their rows, their first words)."""
-    for a, b, h, at, g, to in _grams(column, size):
-        n = np.diff(to)
-        row = np.repeat(np.arange(b - a), n)
-        first = np.arange(len(g)) + np.repeat(at[:-1] - to[:-1], n)
-        parts = [(g, row, first)]
-        for length in items.short:
-            s, s_to = vec.shingles(h, at, length)
-            k = np.diff(s_to)
-            parts.append((s, np.repeat(np.arange(b - a), k), np.arange(len(s)) + np.repeat(at[:-1] - s_to[:-1], k)))
-        yield a, b, h, at, *(np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+def _block_grams(h: np.ndarray, at: np.ndarray, row: np.ndarray, short: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, their first words) of a block's pairs, and of its runs of the lengths of short items."""
+    for distance in (1, 2):
+        if len(h) > distance:
+            place = np.flatnonzero(row[:-distance] == row[distance:])
+            yield _pairs(h, distance)[place], place
+    for length in short:
+        g, to = vec.shingles(h, at, length)
+        yield g, np.arange(len(g)) + np.repeat(at[:-1] - to[:-1], np.diff(to))
 
 
-def _align(key: str, items: Broadcast, size: int, min_score: float, min_words: int):
+def _align(key: str, items: Broadcast, min_score: float, min_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
-        seeds = Seeds(own)
-        sieve = Sieve(seeds.distinct)
+        slices = [Seeds(own, x, min(x + SLICE, len(own.words))) for x in range(0, len(own.words), SLICE)]
         names = [key, "item", "score", "matched_words", "first_word", "end_word", "n_seeds"]
         for batch in batches:
             keys = batch.column(0)
             rows: list[tuple] = []
-            for a, _, h, at, g, row, first in _with_short(batch.column(1), own, size):
-                p = sieve.places(g)
-                lo, hi = np.searchsorted(seeds.gram, g[p], "left"), np.searchsorted(seeds.gram, g[p], "right")
-                n = hi - lo
-                item = seeds.owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(p) else np.zeros(0, np.int64)
-                hits = np.lexsort((np.repeat(first[p], n), item, np.repeat(row[p], n)))
-                r, i, w = np.repeat(row[p], n)[hits], item[hits], np.repeat(first[p], n)[hits]
-                if not len(r):
-                    continue
-                # Seeds of one item that lie within its length of one another share a passage.
-                length = np.array([len(x) for x in own.words], np.int64)
-                new = np.r_[True, (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (w[1:] - w[:-1] > 2 * length[i[1:]])]
-                start = np.flatnonzero(new)
-                stop = np.r_[start[1:], len(r)]
-                for x, y in zip(start.tolist(), stop.tolist(), strict=True):
-                    words = own.words[i[x]]
-                    lo_w = max(int(at[r[x]]), int(w[x]) - 2 * len(words))
-                    hi_w = min(int(at[r[x] + 1]), int(w[y - 1]) + 2 * len(words) + size)
-                    got, a_from, a_to = smith_waterman(words, h[lo_w:hi_w])
-                    score = got / (MATCH * len(words))
-                    if score >= min_score and got >= MATCH * min(min_words, len(words)) * min_score:
-                        rows.append((a + int(r[x]), int(i[x]), score, got // MATCH, lo_w + a_from - int(at[r[x]]), lo_w + a_to - int(at[r[x]]), y - x))
+            for a, b, data, offsets in vec.blocks(batch.column(1)):
+                h, _, _, at = vec.words(data, offsets, vec.PLAIN_WORD, fold=True)
+                row = np.repeat(np.arange(b - a), np.diff(at))
+                grams = list(_block_grams(h, at, row, own.short))
+                for seeds in slices:
+                    found = [seeds.hits(g, place) for g, place in grams]
+                    # One number a hit, in order of item and place; a place tells its row.
+                    hits = np.unique(np.concatenate([np.zeros(0, np.int64), *(i * len(h) + w for i, w in found)]))
+                    if not len(hits):
+                        continue
+                    i, w = hits // len(h), hits % len(h)
+                    last = np.arange(len(hits)) + own.need[i] - 1
+                    end = np.minimum(last, len(hits) - 1)
+                    dense = np.flatnonzero((last < len(hits)) & (i[end] == i) & (row[w[end]] == row[w]) & (w[end] - w < own.reach[i]))
+                    if not len(dense):
+                        continue
+                    i, w = i[dense], w[dense]
+                    # An alignment reaches no further than `reach` from the first of its hits; where such parts meet they are one passage.
+                    start = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (row[w[1:]] != row[w[:-1]]) | (w[1:] - w[:-1] > 2 * own.reach[i[1:]])])
+                    stop = np.r_[start[1:], len(i)]
+                    for x, y in zip(start.tolist(), stop.tolist(), strict=True):
+                        item, r = int(i[x]), int(row[w[x]])
+                        words, reach = own.words[item], int(own.reach[item])
+                        lo_w = max(int(at[r]), int(w[x]) - reach)
+                        hi_w = min(int(at[r + 1]), int(w[y - 1]) + reach + 1)
+                        got, a_from, a_to = smith_waterman(words, h[lo_w:hi_w])
+                        score = got / (MATCH * len(words))
+                        if score >= min_score and got >= MATCH * min(min_words, len(words)) * min_score:
+                            n_seeds = int(np.searchsorted(hits, item * len(h) + hi_w) - np.searchsorted(hits, item * len(h) + lo_w))
+                            rows.append((a + r, item, score, got // MATCH, lo_w + a_from - int(at[r]), lo_w + a_to - int(at[r]), n_seeds))
             if rows:
                 place, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.float64()), *(pa.array(c, pa.int64()) for c in rest[2:])], names=names)
@@ -181,9 +207,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = None
     for part in range(parts):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        items = Items([x["item_id"] for x in rows], [x["text"] for x in rows], size)
+        items = Items([x["item_id"] for x in rows], [x["text"] for x in rows], size, min_score)
         shared = spark.sparkContext.broadcast(items)
-        hits = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(_align(key, shared, size, min_score, min_words), f"{key} {kind}, item long, score double, matched_words long, first_word long, end_word long, n_seeds long")
+        hits = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(_align(key, shared, min_score, min_words), f"{key} {kind}, item long, score double, matched_words long, first_word long, end_word long, n_seeds long")
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item long, item_id {item_kind}")
         named = hits.join(F.broadcast(names), "item").drop("item")
         found = named if found is None else found.union(named)

@@ -68,3 +68,21 @@ def test_many_copies_do_not_hide_an_edited_one(spark):
         docs.append((1000 * i + 200, " ".join(words[:i] + ["other"] + words[i + 1 :])))
     got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d // 1000) for d, _ in docs if d > 1}
+
+
+def test_what_reaches_the_least_score_is_found(spark):
+    """Copies with one word in five or in three replaced, with words put in or left out, against the plain table over all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4)))
+    items = [[word() for _ in range(n)] for n in (15, 15, 21, 30)]
+    docs = []
+    for item in items:
+        copies = [[word() if k % step == 1 else w for k, w in enumerate(item)] for step in (5, 4, 3, 2)]
+        copies += [[x for w in item for x in (w, word())], [x for k, w in enumerate(item) for x in ((w, word()) if k % 3 == 0 else (w,))]]
+        copies += [[w for k, w in enumerate(item) if k % 3 != 1], item[: len(item) // 2], item[len(item) // 2 - 1 :]]
+        copies += [[word() if rng.random() < share else w for w in item] for share in (0.2, 0.3, 0.4)]
+        docs += [[word() for _ in range(rng.randint(0, 30))] + copy + [word() for _ in range(rng.randint(0, 30))] for copy in copies]
+    want = {(d, i): s for d, text in enumerate(docs) for i, item in enumerate(items) if (s := plain_sw(item, text) / (dc.MATCH * len(item))) >= dc.MIN_SCORE}
+    assert len(want) >= 28
+    got = dc.contaminated(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
