@@ -6,8 +6,9 @@ docs. All but the last stage return the columns of documents.
 
 Defined cases: a null text is kept by the first four stages if its language
 stage does not reject it; as it has no letter, it is rejected there. A
-document with a null id is judged like any other. Empty tables give an empty
-result.
+document with a null id is judged like any other: the stages reject rows, not
+ids, so rows that share an id are judged each by its own text. Of linked
+documents one row stays. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -16,39 +17,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard_join, language_id, packing, toxicity
-from lodestar.llm.common import keep
+from lodestar.llm.common import keep, with_row_key
 from lodestar.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """`docs` without the rows whose id is among the rejected; those are few beside the corpus or a shuffle joins them."""
-    bad = keep(rejected.select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+#: What a row takes along besides its id while it is judged.
+CARRIED = tuple(COLUMNS[1:])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword model takes to be toxic go."""
-    verdict = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, verdict.filter("predicted = 1"))
+    verdict = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=CARRIED)
+    return verdict.filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that the byte network knows (nothing to read in them) go."""
-    return _without(docs, language_id.identify(docs).filter(F.col("lang_pred") == language_id.UNKNOWN))
+    return language_id.identify(docs, carry=CARRIED).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays."""
-    groups = jaccard_join.join(docs)
-    return _without(docs, groups.filter("n_shingles > 0 and component_id < doc_id"))
+    """Of each group of linked documents one row stays: of those with the smallest id, null last, the first."""
+    rows = with_row_key(docs.select(*COLUMNS))
+    groups = keep(jaccard_join.join(rows, key="_row").filter("n_shingles > 0").select("_row", "component_id"), "groups")
+    shared = keep(groups.filter("component_id < _row").select("component_id").distinct(), "shared")
+    members = groups.join(shared, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")
+    first = members.groupBy("component_id").agg(F.min(order).getField("_row").alias("_first"))
+    bad = keep(members.join(first, "component_id").filter("_row != _first").select(F.col("_row").alias("_bad")), "rejected")
+    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found)
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

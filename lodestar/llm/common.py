@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
+    """`df` with a number of its own for every row: the row's file and its place there, the same at each reading.
+
+    A frame that does not come from files is written first.
+    """
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("_file"))
+    except AnalysisException:
+        df = keep(df, "rows")
+        files = df.select(F.col("_metadata.file_path").alias("_file"))
+    paths = sorted(x["_file"] for x in files.distinct().collect())
+    known = df.sparkSession.createDataFrame(list(enumerate(paths)), "_number long, _file string")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(F.broadcast(known), "_file").select(*df.columns, F.shiftleft("_number", 40).bitwiseOR(F.col("_index")).alias(name))
+
+
 def if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """`df` with a broadcast hint if its counted rows, at `row_bytes` each, stay under BROADCAST_BYTES; else `df` as it is."""
     rows = df.count() if rows is None else rows

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import BROADCAST_BYTES, keep, text_or_empty
+from .common import BROADCAST_BYTES, text_or_empty
 
 SIZE = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -193,6 +193,16 @@ def _align(key: str, items: Broadcast, min_score: float, min_words: int):
     return align
 
 
+def _parts(benchmark: DataFrame, item_key: str, item_text: str, size: int, min_score: float) -> Iterator[Items]:
+    """The benchmark's items in parts of about BROADCAST_BYTES."""
+    bench = benchmark.select(F.col(item_key).alias("item_id"), text_or_empty(item_text).alias("text")).distinct()
+    weight = bench.agg(F.coalesce(F.sum(F.octet_length("text") * 4 + 64), F.lit(0)).alias("b")).first()["b"]
+    parts = max(1, -(-weight // BROADCAST_BYTES))
+    for part in range(parts):
+        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        yield Items([x["item_id"] for x in rows], [x["text"] for x in rows], size, min_score)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = SIZE, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document and item that it holds a copy of: (doc_id, item_id, score, matched_words, first_word, end_word, n_seeds).
 
@@ -200,14 +210,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     more than BROADCAST_BYTES is taken in several parts, each a pass of its own.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_key).alias("item_id"), text_or_empty(item_text).alias("text")).distinct()
-    weight = bench.agg(F.coalesce(F.sum(F.octet_length("text") * 4 + 64), F.lit(0)).alias("b")).first()["b"]
-    parts = max(1, -(-weight // BROADCAST_BYTES))
-    kind, item_kind = docs.schema[key].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
+    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     found = None
-    for part in range(parts):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        items = Items([x["item_id"] for x in rows], [x["text"] for x in rows], size, min_score)
+    for items in _parts(benchmark, item_key, item_text, size, min_score):
         shared = spark.sparkContext.broadcast(items)
         hits = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(_align(key, shared, min_score, min_words), f"{key} {kind}, item long, score double, matched_words long, first_word long, end_word long, n_seeds long")
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item long, item_id {item_kind}")
@@ -217,7 +222,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return best.select(key, "item_id", "b.score", "b.matched_words", "b.first_word", "b.end_word", "b.n_seeds")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """`docs` without those that hold a copy of an item; rows with a null id stay unless flagged."""
-    bad = keep(contaminated(docs, benchmark, key, **options).select(F.col(key).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = SIZE, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of `docs` that hold no copy of an item; each row is judged by its own text, whatever its id."""
+
+    def without(items: Broadcast):
+        align = _align("row", items, min_score, min_words)
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                body = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch.column(batch.schema.get_field_index(text))], names=["row", "text"])
+                left = np.ones(len(batch), bool)
+                for hits in align(iter([body])):
+                    left[hits.column(0).to_numpy()] = False
+                yield batch.filter(pa.array(left))
+
+        return drop
+
+    for items in _parts(benchmark, item_key, item_text, size, min_score):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs

@@ -184,12 +184,13 @@ def labelled(docs: DataFrame, key: str, text: str, lang: str, bound: int) -> Dat
     return few.select(key, F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy(F.xxhash64(key), "text", "lang").limit(bound)
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = SAMPLE) -> DataFrame:
-    """(key, held_out, lang_pred, score) for every row of `docs`."""
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, held_out, lang_pred, score, and the columns to carry) for every row of `docs`."""
     sample = labelled(docs, key, text, lang, bound).toArrow()
     model = train(sample["text"].combine_chunks(), sample["lang"].to_pylist()) if sample.num_rows else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
+    carried = [f"_carry{i}" for i in range(len(carry))]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         applied = shared.value
@@ -200,9 +201,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             else:
                 p = applied.probabilities(batch.column(1))
                 names, score = np.array(applied.languages, object)[p.argmax(1)] if len(p) else np.zeros(0, object), p.max(1) if len(p) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(letter, names, UNKNOWN), pa.string()), pa.array(np.where(letter, score, 0.0))], names=[key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(letter, names, UNKNOWN), pa.string()), pa.array(np.where(letter, score, 0.0)), *batch.columns[3:]], names=[key, "lang_pred", "score", *carried])
         vec.tidy()
 
-    rows = docs.select(F.col(key), text_or_empty(text).alias("text"), text_or_empty(text).rlike(r"\p{L}").alias("letter"))
-    found = rows.mapInArrow(predict, f"{key} {kind}, lang_pred string, score double")
-    return found.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col(key), text_or_empty(text).alias("text"), text_or_empty(text).rlike(r"\p{L}").alias("letter"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    types = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried, strict=True))
+    found = rows.mapInArrow(predict, f"{key} {kind}, lang_pred string, score double{types}")
+    return found.select(key, held_out(key).alias("held_out"), "lang_pred", "score", *(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)))

@@ -278,18 +278,21 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(key, 5) == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE) -> DataFrame:
-    """(key, held_out, score, predicted) for every row of `docs`, learned from labels of rows that are not held out."""
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, held_out, score, predicted, and the columns to carry) for every row of `docs`, learned from labels of rows that are not held out."""
     sample, positive = labelled(docs, labels, key, text, label, ~held_out(key), bound)
     sample = sample.orderBy(F.xxhash64(key), "text").toArrow()
     fitted = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array(sample["y"].to_pylist(), int), positive)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema[key].dataType.simpleString()
+    carried = [f"_carry{i}" for i in range(len(carry))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), *model.value))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), *model.value)), *batch.columns[2:]], names=[key, "score", *carried])
         vec.tidy()
 
-    scored = docs.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(score, f"{key} {kind}, score double")
-    return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col(key), text_or_empty(text).alias("_text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    types = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried, strict=True))
+    scored = rows.mapInArrow(score, f"{key} {kind}, score double{types}")
+    return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)))

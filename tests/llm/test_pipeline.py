@@ -33,3 +33,27 @@ def test_edges(spark, edge_docs, no_docs):
         for name, stage in cp.STAGES:
             at = cp.keep(stage(spark, at, SF), name)
         assert (at.count() == 0) == (docs is no_docs)
+
+
+def test_rows_are_judged_not_ids(spark):
+    """Clean and rejected rows with null and shared ids, and repeated rows."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*cp.COLUMNS)
+    verdict = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] and r["n_chars"] > 50}
+    toxic, clean = (next(t for d, t in sorted(texts.items()) if verdict[d] == y) for y in (1, 0))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    one, two = ("".join(f"{w}{k} " for k in range(40)) for w in ("red", "blue"))
+    ids = (None, 10**9)
+
+    def stage(name, pairs):
+        rows = cp.keep(spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in pairs], docs.schema), "rows")
+        rows = docs.union(rows) if name == "toxicity" else rows
+        out = dict(cp.STAGES)[name](spark, rows, sf)
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] in ids or r["doc_id"] < 0), key=str)
+
+    for name, bad, good in (("toxicity", toxic, clean), ("language_id", "12 34", one), ("decontamination", item, one)):
+        pairs = [(d, t) for d in ids for t in (bad, good, good)]
+        assert stage(name, pairs) == sorted(((d, t) for d, t in pairs if t == good), key=str), name
+    pairs = [(None, one), (-5, one), (-5, one), (-4, one), (None, two), (None, two), (-5, "a lone text"), (None, "")]
+    assert stage("jaccard_join", pairs) == sorted([(-5, one), (None, two), (-5, "a lone text"), (None, "")], key=str)
