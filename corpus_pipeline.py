@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that the byte network knows (nothing to read in them) go."""
+    """Documents without a letter go, as do all if there was nothing to learn from; the network's score rejects none."""
     return language_id.identify(docs, carry=CARRIED).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
