@@ -32,7 +32,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: later steps survive the loss of an executor and start from the files."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `keep` wrote and that no later step reads; a frame of another origin is left alone."""
+    for df in frames:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:

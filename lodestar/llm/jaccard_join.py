@@ -12,14 +12,19 @@ N - k of them; those that are not empty give equal signatures.
 
 From that count follow an exact filter and an exact treatment of skew:
 
-* pairs of sets that share signatures in small groups are counted; a pair
-  stays only if its count, plus the frequent signatures that it may share,
+* pairs of sets that share signatures in small groups are counted; a pair is
+  verified if its count, plus the frequent signatures that it may share,
   reaches N - k less the partitions empty in both;
-* signatures of more than SMALL sets form no pairs. A set is hard if the
-  frequent ones among its signatures could hide a partner. Pairs of two hard
-  sets are found on another exact way: a prefix filter over their features,
-  rarest first, whose groups are compared with one central member first and
-  then, between components that are still apart, tile by tile.
+* a signature of more than SMALL sets forms no pairs: each of its sets is tied
+  to the group's centre, the set with the smallest hash. Ties that carry a good
+  part of the needed count are verified along with the pairs, and what they
+  link gets one label. From then on a frequent signature matters only if its
+  group holds two labels: between sets of one label no link is missing;
+* a set is hard if the frequent signatures of groups with several labels could
+  still hide a partner. Pairs of two hard sets are found on another exact way:
+  a prefix filter over their features, rarest first, whose groups with several
+  labels are compared with one central member first and then, between
+  components that are still apart, tile by tile.
 
 Candidates are verified on the sets themselves. Nothing is capped or sampled.
 
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import vec
-from .common import bucket, if_small, keep, pieces, text_or_empty
+from .common import bucket, discard, if_small, keep, pieces, text_or_empty
 from .components import components
 
 SIZE, PERCENT = 5, 75
@@ -51,7 +56,7 @@ SPREAD = 1.25
 SMALL = 16
 #: Signatures in one bucket of the shuffle, and those that a task holds before it hands them on.
 BUCKET_SIGNATURES, FLUSH_SIGNATURES = 1_500_000, 1_500_000
-VERIFY_NODES = 2000
+VERIFY_PAIRS = 2000
 TILE_NODES = 1500
 U64 = np.uint64
 
@@ -131,119 +136,156 @@ def classes(docs: DataFrame, key: str, text: str, size: int, bands: Bands) -> Da
     return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(build, f"{key} {kind}, n_shingles long, node long, band int, empty0 int, empty1 int")
 
 
-def _deal(size: int, bands: Bands, buckets: int):
-    """Signatures of all sets, as packed columns by bucket: 5 bytes of hash each, and twice its set's place in the list of sets, plus 1 in the index above the set's own band."""
+class Line:
+    """Where a signature is dealt: bands lie one after another on a line, each as long as it has signatures, cut into buckets of equal length.
+
+    A band's sets meet in few buckets, so a set's own numbers are sent few times.
+    """
+
+    def __init__(self, expected: dict[int, int], n_bands: int, size: int):
+        self.length = np.array([expected.get(b, 0) for b in range(n_bands)], float)
+        self.start = np.r_[0.0, np.cumsum(self.length)]
+        self.size = size
+        self.buckets = int(self.start[-1] // size) + 1
+
+    def bucket(self, sig: np.ndarray, band: np.ndarray) -> np.ndarray:
+        share = (sig & U64(0xFFFFFF)).astype(float) / (1 << 24)
+        return ((self.start[band] + share * self.length[band]) // self.size).astype(np.int64)
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 up, as the narrowest of three types, named in front."""
+    top = int(x.max()) if len(x) else 0
+    kind = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([kind]) + x.astype(f"<u{kind}").tobytes()
+
+
+def _from_small(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+DEALT = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("steps", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("empties", pa.binary())])
+
+
+def _deal(size: int, bands: Bands, line: Line):
+    """Signatures of all sets, as packed columns by bucket: 4 bytes of hash each and, by set, its hash, size, and empty partitions.
+
+    Signatures stand in the order of their sets; `steps` says how many sets further the next one's set is. A set
+    counts twice if it stands in two indexes; `empties` holds twice the empty partitions, plus 1 in the upper index.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, tags, nodes, sizes = [], [], [], [], []
-        held = known = 0
+        seen = np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        n_sigs = known = 0
 
         def flush() -> pa.RecordBatch:
-            sig, owner, tag, node, many = (np.concatenate(x) for x in (sigs, owners, tags, nodes, sizes))
-            to = (sig % U64(buckets)).astype(np.int64)
+            sig, owner, to = (np.concatenate([x[i] for x in held]) for i in range(3))
+            node, many, empty = (np.concatenate([x[i] for x in held]) for i in range(3, 6))
             order = np.argsort(to, kind="stable")
-            sig, owner, tag, to = sig[order], owner[order], tag[order], to[order]
-            many, empty = many & 0xFFFFFFFF, many >> 32
-            narrow = np.uint16 if len(many) and max(many.max(), empty.max()) < 1 << 16 else np.uint32
+            sig, owner, to = sig[order], owner[order], to[order]
             start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             stop = np.r_[start[1:], len(to)]
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in DEALT]
             for a, b in zip(start.tolist(), stop.tolist(), strict=True):
                 mine, place = np.unique(owner[a:b], return_inverse=True)
-                five = np.ascontiguousarray((sig[a:b] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-                place = (2 * place + tag[a:b]).astype(np.uint16 if len(mine) < 1 << 15 else np.uint32)
-                sizes_of = np.stack([many[mine], empty[mine]]).astype(narrow)
-                for x, y in zip(out, (int(to[a]), five.tobytes(), place.tobytes(), node[mine].tobytes(), sizes_of.tobytes()), strict=True):
+                row = (int(to[a]), (sig[a:b] >> U64(32)).astype("<u4").tobytes(), _small(np.diff(place, prepend=0)), node[mine].tobytes(), _small(many[mine]), _small(empty[mine]))
+                for x, y in zip(out, row, strict=True):
                     x.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["bucket", "sigs", "places", "nodes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, DEALT, strict=True)], schema=DEALT)
 
         for batch in batches:
             for _, _, values, to in _sets(batch.column(0), size):
                 node = vec.set_hash(values, to).view(np.int64)
                 n = np.diff(to)
                 _, rows = np.unique(node, return_index=True)
-                rows = rows[n[rows] > 0]
+                rows = rows[(n[rows] > 0) & ~np.isin(node[rows], seen, assume_unique=True)]
+                # Copies within a task are dealt once.
+                seen = np.union1d(seen, node[rows])
                 band = bands.of(n[rows])
                 more = bands.partner(n[rows]) > bands.high[band]
                 for step, r, c in ((0, rows, band), (1, rows[more], band[more] + 1)):
                     sig, who, full = _signatures(values, to, r, c, bands)
-                    sigs.append(sig)
-                    owners.append(known + who)
-                    tags.append(np.full(len(sig), step, np.int64))
-                    nodes.append(node[r])
-                    sizes.append(n[r] | (bands.parts[c] - full) << 32)
+                    held.append((sig, known + who, line.bucket(sig, c[who]), node[r], n[r], 2 * (bands.parts[c] - full) + step))
                     known += len(r)
-                    held += len(sig)
-                if held >= FLUSH_SIGNATURES:
+                    n_sigs += len(sig)
+                if n_sigs >= FLUSH_SIGNATURES:
                     yield flush()
-                    sigs, owners, tags, nodes, sizes = [], [], [], [], []
-                    held = known = 0
-        if held:
+                    held.clear()
+                    n_sigs = known = 0
+        if n_sigs:
             yield flush()
-        del sigs, owners, tags, nodes, sizes
+        held.clear()
         vec.tidy()
 
     return deal
 
 
+MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("band", pa.int32()), ("members", pa.int32()), ("n", pa.int32()), ("near", pa.bool_()), ("need", pa.int32())])
+
+
 def _meet(bands: Bands, table: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of sets in small groups with the number of their common signatures, and per set the number of its frequent ones.
+    """Of one bucket: pairs of sets in small groups (`members` 0) with the number of their common signatures, and ties of sets to the centre v of frequent ones.
 
     Sets whose sizes alone keep them apart form no pair, and a pair counts in
-    one index only, that of the larger set's band. `need` is the number of
-    common signatures that the pair must have in all.
+    one index only, that of the larger set's band; ties say in `near` whether
+    the same holds for them. `members` is the size of a frequent group as a
+    power of two. `need` is the number of common signatures that the pair must
+    have in all.
     """
     percent = bands.percent
-    sig, node, size, empty, upper = [], [], [], [], []
-    for five, places, nodes, sizes in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-        n = len(five) // 5
-        eight = np.zeros((n, 8), np.uint8)
-        eight[:, :5] = np.frombuffer(five, np.uint8).reshape(-1, 5)
-        own = np.frombuffer(nodes, np.int64)
-        place = np.frombuffer(places, np.uint32 if len(places) == 4 * n else np.uint16)
-        both = np.frombuffer(sizes, np.uint16 if len(sizes) == 4 * len(own) else np.uint32).reshape(2, -1).astype(np.int64)
-        sig.append(eight.reshape(-1).view(U64))
-        upper.append((place & 1).astype(np.int8))
-        place = place >> 1
-        node.append(own[place])
-        size.append(both[0][place])
-        empty.append(both[1][place])
-    sig, node, size, empty, upper = (np.concatenate(x) for x in (sig, node, size, empty, upper))
+    parts = []
+    for four, steps, nodes, sizes, empties in zip(*(table.column(i).to_pylist() for i in range(1, 6)), strict=True):
+        place = np.cumsum(_from_small(steps))
+        twice = _from_small(empties)
+        parts.append((np.frombuffer(four, "<u4"), *(x[place] for x in (np.frombuffer(nodes, np.int64), _from_small(sizes).astype(np.int32), (twice >> 1).astype(np.int32), (twice & 1).astype(np.int8)))))
+    sig, node, size, empty, upper = (np.concatenate([x[i] for x in parts]) for i in range(5))
+    del parts
     order = np.argsort(sig)
     sig = sig[order]
     same = sig[1:] == sig[:-1]
     twice = np.r_[same, False] | np.r_[False, same]
     sig, order = sig[twice], order[twice]
     order = order[np.lexsort((node[order], sig))]
-    sig, node, size, empty, upper = np.sort(sig), node[order], size[order], empty[order], upper[order]
+    sig, node, size, empty, upper = np.sort(sig), node[order], size[order].astype(np.int64), empty[order].astype(np.int64), upper[order]
     if len(sig):
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (upper[1:] != upper[:-1])]
         sig, node, size, empty, upper = (x[fresh] for x in (sig, node, size, empty, upper))
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(sig)])
     own = bands.of(size)
     band = (own + upper).astype(np.int32)
-    us, vs, bs, ns = [], [], [], []
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.maximum(own[i], own[j]) == band[i]) & (band[i] == band[j]) & (node[i] != node[j])
+
+    def rows(i: np.ndarray, j: np.ndarray, members: np.ndarray, ok: np.ndarray) -> pa.Table:
+        need = bands.parts[band[i]] - (100 - percent) * (size[i] + size[j]) // (100 + percent) - np.minimum(empty[i], empty[j])
+        key = (node[i], node[j], band[i], members)
+        order = np.lexsort(key)
+        at = np.ones(len(order), bool)
+        at[1:] = np.any([x[order][1:] != x[order][:-1] for x in key], axis=0)
+        at = np.flatnonzero(at)
+        first = order[at]
+        n = np.diff(np.r_[at, len(order)])
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((*(x[first] for x in key), n, ok[first], need[first]), MET, strict=True)], schema=MET)
+
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, SMALL + 1):
         at = start[count == n]
         if len(at):
             i, j = np.triu_indices(n, 1)
             i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            near = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.maximum(own[i], own[j]) == band[i]) & (band[i] == band[j])
-            us.append(node[i[near]])
-            vs.append(node[j[near]])
-            bs.append(band[i[near]])
-            i, j = i[near], j[near]
-            ns.append(bands.parts[band[i]] - (100 - percent) * (size[i] + size[j]) // (100 + percent) - np.minimum(empty[i], empty[j]))
-    hot = np.flatnonzero(np.repeat(count > SMALL, count))
-    parts = []
-    join_up = lambda x, t: np.concatenate([np.zeros(0, t), *x])
-    for u, v, b, need, pair in ((join_up(us, np.int64), join_up(vs, np.int64), join_up(bs, np.int32), join_up(ns, np.int64), True), (node[hot], node[hot], band[hot], empty[hot], False)):
-        order = np.lexsort((v, u, b))
-        u, v, b, need = u[order], v[order], b[order], need[order]
-        at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (b[1:] != b[:-1])]) if len(u) else np.zeros(0, np.int64)
-        parts.append(pa.table({"u": u[at], "v": pa.array(v[at], mask=np.full(len(at), not pair)), "band": b[at], "n": np.diff(np.r_[at, len(u)]).astype(np.int32), "need": need[at].astype(np.int32)}))
-    return pa.concat_tables(parts)
+            ok = near(i, j)
+            us.append(i[ok])
+            vs.append(j[ok])
+    i, j = np.concatenate(us), np.concatenate(vs)
+    pairs = rows(i, j, np.zeros(len(i), np.int32), np.ones(len(i), bool))
+    size_of = np.repeat(count, count)
+    hot = np.flatnonzero(size_of > SMALL)
+    centre = np.repeat(start, count)[hot]
+    ties = rows(hot, centre, np.log2(size_of[hot]).astype(np.int32), near(hot, centre))
+    return pa.concat_tables([pairs, ties])
 
 
 def _meeting(bands: Bands):
@@ -283,13 +325,22 @@ def _verify(percent: int):
 
 
 def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are similar. Blocks of nodes meet in a task, each set goes to a task once."""
-    blocks = pieces(sets.count(), VERIFY_NODES)
-    placed = pairs.select("u", "v", bucket(blocks, "u").alias("bu"), bucket(blocks, "v").alias("bv"))
-    needed = placed.select("bu", "bv", F.col("u").alias("node")).union(placed.select("bu", "bv", F.col("v").alias("node"))).distinct()
-    with_sets = needed.join(sets, "node")
-    left = placed.select(F.col("bu").alias("ku"), F.col("bv").alias("kv"), F.col("u").alias("u"), F.col("v").alias("v"))
-    return left.groupBy("ku", "kv").cogroup(with_sets.groupBy("bu", "bv")).applyInArrow(_verify(percent), "u long, v long")
+    """Those of the pairs (u, v) whose sets are similar.
+
+    Pairs whose sets have the same lowest neighbour meet in one task, so that a set is sent to few; where more than
+    VERIFY_PAIRS have it, they are cut by a hash of the first set.
+    """
+    near = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    low = near.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("low"))
+    side = lambda x: low.select(F.col("x").alias(x), F.col("low").alias(f"low_{x}"))
+    placed = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", F.least("low_u", "low_v").alias("c"))
+    many = placed.groupBy("c").agg(F.ceil(F.count("*") / VERIFY_PAIRS).cast("int").alias("cut")).filter("cut > 1")
+    part = F.pmod(F.xxhash64("u"), F.coalesce("cut", F.lit(1)))
+    placed = keep(placed.join(many, "c", "left").select("u", "v", bucket(pieces(pairs.count(), VERIFY_PAIRS), "c", part).alias("block")), "placed")
+    each = placed.select("block", F.explode(F.array("u", "v")).alias("node")).distinct()
+    with_sets = each.join(sets, "node").select("block", "node", "features")
+    left = placed.select(F.col("block").alias("b"), "u", "v")
+    return keep(left.groupBy("b").cogroup(with_sets.groupBy("block")).applyInArrow(_verify(percent), "u long, v long"), "links")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +376,9 @@ def _tile(percent: int):
 
 
 class _Hard:
-    """Pairs of hard sets: prefix groups over their features, rarest first."""
+    """Pairs of hard sets with different labels: prefix groups over their features, rarest first."""
 
-    def __init__(self, sets: DataFrame, percent: int):
+    def __init__(self, sets: DataFrame, labels: DataFrame, percent: int):
         self.percent = percent
         tokens = keep(sets.mapInArrow(_explode, "h long, node long, n long"), "tokens")
         shared = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -337,12 +388,15 @@ class _Hard:
         # Of n features, ceil(P * n / 100) must be common: one of the rarest n - that + 1 is.
         prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
         ranked = known.withColumn("lone", lone).withColumn("at", F.row_number().over(w.orderBy("df", "h")))
-        self.prefix = keep(ranked.filter(F.col("at") + F.col("lone") <= prefix).select("h", "node", "n", "lone"), "prefix")
+        prefix = ranked.filter(F.col("at") + F.col("lone") <= prefix).select("h", "node", "n", "lone")
+        prefix = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        self.prefix = keep(prefix, "prefix")
+        discard(tokens)
 
     def star(self) -> DataFrame:
-        """(u, v, nu, nv, lone): every member of a group with the group's most central one."""
-        centre = self.prefix.groupBy("h").agg(F.min(F.struct("lone", "node", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
-        near = self.prefix.join(centre, "h").filter("node != c.node")
+        """(u, v, nu, nv, lone): every member of a group of several labels with the group's most central one."""
+        centre = self.prefix.groupBy("h").agg(F.min(F.struct("lone", "node", "n")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        near = self.prefix.join(centre.select("h", "c"), "h").filter("node != c.node")
         return keep(near.select(F.col("node").alias("u"), F.col("c.node").alias("v"), F.col("n").alias("nu"), F.col("c.n").alias("nv"), (F.col("lone") + F.col("c.lone")).alias("lone")).distinct(), "star")
 
     def rest(self, star: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -366,53 +420,77 @@ def _difference(a: Column, b: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (a + b) / (100 + percent))
 
 
+def _features(docs: DataFrame, key: str, text: str, size: int, need: DataFrame, info: DataFrame) -> DataFrame:
+    """(node, features) of the needed sets, each from the text of one row."""
+    need = keep(need.distinct().join(info.select("node", "rep"), "node"), "need")
+    n = need.count()
+    wanted = if_small(need.select(F.col("rep").alias("_rep")).distinct(), 16, n)
+    named = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
+    texts = named.join(wanted, F.col("_key").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    sets = texts.mapInArrow(_set_rows(size), "node long, features binary").join(if_small(need.select("node"), 16, n), "node", "left_semi")
+    return keep(sets.dropDuplicates(["node"]), "sets")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) for every row of `docs`."""
     bands = Bands(percent)
     thin = keep(classes(docs, key, text, size, bands), "classes")
     info = keep(thin.filter("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("m"), F.first("band").alias("own"), F.first("empty0").alias("empty0"), F.first("empty1").alias("empty1")), "info")
-    body = docs.select(text_or_empty(text).alias("text"))
-    expected = info.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
-    buckets = pieces(expected, BUCKET_SIGNATURES)
-    met = keep(body.mapInArrow(_deal(size, bands, buckets), "bucket int, sigs binary, places binary, nodes binary, sizes binary").groupBy("bucket").applyInArrow(_meeting(bands), "u long, v long, band int, n int, need int"), "met")
 
     # Two rows a set: what it has in each of its two indexes.
     partner = F.floor(F.col("m") * 100 / percent)
     parts = F.array(*(F.lit(int(x)) for x in bands.parts))
     highs = F.array(*(F.lit(int(x)) for x in bands.high))
-    index = info.select("node", "m", F.explode(F.array(F.struct(F.col("own").alias("band"), F.col("empty0").alias("empty"), F.lit(True).alias("used")), F.struct((F.col("own") + 1).alias("band"), F.col("empty1").alias("empty"), (partner > F.get(highs, F.col("own"))).alias("used")))).alias("i"), "own").filter("i.used")
-    hot = keep(met.filter("v is null").groupBy(F.col("u").alias("node"), "band").agg(F.sum("n").alias("hot")), "hot")
-    index = index.select("node", "m", "own", F.col("i.band").alias("band"), F.col("i.empty").alias("empty")).join(hot, ["node", "band"], "left").fillna(0, ["hot"])
-    index = keep(index.withColumn("parts", F.get(parts, F.col("band"))), "index")
-    hard = index.filter(F.col("parts") - _difference(F.col("m"), partner, percent) - F.col("empty") - F.col("hot") <= 0).select("node").distinct()
-    pairs = keep(met.filter("v is not null").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.first("need").alias("need")), "counted")
-    # Only sets with frequent signatures can share more than was counted.
+    index = info.select("node", "m", F.explode(F.array(F.struct(F.col("own").alias("band"), F.col("empty0").alias("empty"), F.lit(True).alias("used")), F.struct((F.col("own") + 1).alias("band"), F.col("empty1").alias("empty"), (partner > F.get(highs, F.col("own"))).alias("used")))).alias("i")).filter("i.used")
+    index = index.select("node", "m", F.col("i.band").alias("band"), F.col("i.empty").alias("empty"), F.get(parts, F.col("i.band")).alias("parts"))
+    # One number a band; there are as many bands as the logarithm of the largest set.
+    expected = {r["band"]: r["n"] for r in index.groupBy("band").agg(F.sum(F.col("parts") - F.col("empty")).alias("n")).collect()}
+    line = Line(expected, len(bands.parts), BUCKET_SIGNATURES)
+
+    body = docs.select(text_or_empty(text).alias("text"))
+    dealt = body.mapInArrow(_deal(size, bands, line), "bucket int, sigs binary, steps binary, nodes binary, sizes binary, empties binary")
+    met = keep(dealt.groupBy("bucket").applyInArrow(_meeting(bands), "u long, v long, band int, members int, n int, near boolean, need int"), "met")
+    by_tie = [F.sum("n").alias("n"), F.first("near").alias("near"), F.first("need").alias("need")]
+    ties = keep(met.filter("members > 0").groupBy("u", "v", "band", "members").agg(*by_tie), "ties")
+    pairs = keep(met.filter("members = 0").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.first("need").alias("need")), "counted")
+    discard(met)
+
+    # First what counts alone decide, and ties that carry a good part of what is needed.
+    tied = ties.filter("near").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("2 * n >= need")
+    first = keep(pairs.filter("n >= need").select("u", "v").union(tied.select("u", "v")).distinct(), "pairs")
+    sets = _features(docs, key, text, size, first.select(F.explode(F.array("u", "v")).alias("node")), info)
+    links = links_among(first, sets, percent)
+    labels = components(links)
+    discard(sets)
+
+    # Frequent signatures whose groups hold several labels may hide more.
+    named = ties.join(labels.withColumnRenamed("node", "u").withColumnRenamed("label", "lu"), "u", "left").join(labels.withColumnRenamed("node", "v").withColumnRenamed("label", "lv"), "v", "left")
+    named = named.select("u", "v", "band", "members", "n", (F.coalesce("lu", "u") != F.coalesce("lv", "v")).alias("apart"))
+    mixed = named.filter("apart").select("v", "band", "members").distinct()
+    hot = keep(named.join(mixed, ["v", "band", "members"], "left_semi").groupBy(F.col("u").alias("node"), "band").agg(F.sum("n").alias("hot")), "hot")
+    least = F.col("parts") - _difference(F.col("m"), partner, percent) - F.col("empty")
+    hard = keep(index.join(hot, ["node", "band"], "left").filter(least - F.coalesce("hot", F.lit(0)) <= 0).select("node").distinct(), "hard")
     few = pairs.filter("n < need")
     for side in ("u", "v"):
         few = few.join(hot.select(F.col("node").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"])
-    few = few.filter(F.col("n") + F.least("hot_u", "hot_v") >= F.col("need"))
-    pairs = keep(pairs.filter("n >= need").select("u", "v").union(few.select("u", "v")), "pairs")
-    hard = keep(hard, "hard")
+        few = few.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    few = few.filter((F.col("n") + F.least("hot_u", "hot_v") >= F.col("need")) & (F.coalesce("label_u", "u") != F.coalesce("label_v", "v")))
+    few = keep(few.select("u", "v").distinct(), "few")
+    more = hard.union(few.select(F.explode(F.array("u", "v")).alias("node")))
+    if more.limit(1).count():
+        sets = _features(docs, key, text, size, more, info)
+        side = _Hard(sets.join(hard, "node", "left_semi"), labels, percent)
+        star = side.star()
+        lone_ok = F.col("lone") <= _difference(F.col("nu"), F.col("nv"), percent)
+        tried = star.filter(lone_ok & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))).select("u", "v")
+        found = links_among(keep(few.union(tried).distinct(), "pairs"), sets, percent)
+        labels = components(links.union(found))
+        if star.limit(1).count():
+            last = keep(side.rest(star, labels, sets), "links")
+            if last.limit(1).count():
+                labels = components(links.union(found).union(last))
+        discard(sets, star, side.prefix)
 
-    need = keep(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(hard).distinct().join(info.select("node", "rep"), "node"), "need")
-    n_need = need.count()
-    wanted = if_small(need.select(F.col("rep").alias("_rep")).distinct(), 16, n_need)
-    named = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
-    texts = named.join(wanted, F.col("_key").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_set_rows(size), "node long, features binary").join(if_small(need.select("node"), 16, n_need), "node", "left_semi")
-    sets = keep(sets.dropDuplicates(["node"]), "sets")
-
-    hard_sets = sets.join(hard, "node", "left_semi")
-    side = _Hard(hard_sets, percent)
-    star = side.star()
-    lone_ok = F.col("lone") <= _difference(F.col("nu"), F.col("nv"), percent)
-    tried = star.filter(lone_ok & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))).select("u", "v")
-    links = keep(links_among(pairs.union(tried).distinct(), sets, percent), "links")
-    labels = components(links)
-    if star.limit(1).count():
-        more = keep(side.rest(star, labels, sets), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
     named = info.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "root").select("node", "component_id")

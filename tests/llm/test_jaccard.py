@@ -99,3 +99,16 @@ def test_words_are_those_of_the_pattern():
             raw = t.encode()
             got = [raw[s - offsets[i] : e - offsets[i]].decode() for s, e in zip(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]], strict=True)]
             assert got == re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
+def test_forest_names_the_smallest_node_of_each_component():
+    from lodestar.llm.components import forest
+
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    root = {int(x): int(x) for x in np.r_[u, v]}
+    for _ in range(300):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            root[a] = root[b] = min(root[a], root[b])
+    node, low = forest(u, v)
+    assert dict(zip(node.tolist(), low.tolist(), strict=True)) == {k: r for k, r in root.items() if k != r}
