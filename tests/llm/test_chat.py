@@ -38,3 +38,20 @@ def test_edges(spark, monkeypatch):
     assert chat.format_digests(c.limit(0), tokenizer_path()).count() == 0
     runs = chat.format_conversations(c, tokenizer_path()).filter("conv_id = 2").collect()
     assert len(runs) == 2 and all(len(r["ids"]) == len(r["mask"]) == len(r["starts"]) for r in runs)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(max_size=60)), min_size=1, max_size=4))
+def test_both_encoders_give_the_same_ids_and_offsets(turns):
+    e = chat.encoder(tokenizer_path())
+    assert e.fast is not None
+    text, _ = chat.render(turns)
+    ids, offsets = e.encode(text)
+    slow = e.slow.encode(text, add_special_tokens=False)
+    assert ids.tolist() == slow.ids and [tuple(x) for x in offsets.tolist()] == slow.offsets
+
+
+def test_string_ids(spark):
+    c = spark.createDataFrame([("a", 0, "user", "x"), ("b", 0, "assistant", "<|endoftext|> 漢 é")], "conv_id string, turn long, role string, text string")
+    got = {r["conv_id"]: r["loss_chars"] for r in chat.format_digests(c, tokenizer_path()).collect()}
+    assert got == {"a": 0, "b": 17}
