@@ -1,7 +1,8 @@
 """Cost-balanced packing of token sequences.
 
 A document is encoded once and cut into pieces of at most `capacity` ids.
-Pieces go to blocks by hash; inside a block, the estimated cost of a piece is
+Pieces go to blocks by a hash that includes the row's place in its task, so
+that copies of a row spread over the blocks; inside a block, the estimated cost of a piece is
 `linear * n + quadratic * n * n`, and pieces in descending order go to the
 sequence with the lowest cost so far that still has room. A block opens just
 as many sequences as its tokens need; a piece that fits nowhere is cut, so a
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import vec
 from .common import bucket, pieces, text_or_empty
@@ -45,8 +47,9 @@ class Encoder:
 
     `path` is a tokenizer file (.json); if a rank file of the same vocabulary
     (.tiktoken) lies beside it, texts are encoded with that, which gives the
-    same ids about four times as fast. Strings of special tokens in a text are
-    ordinary text.
+    same ids about four times as fast. Texts that hold the string of an added
+    token (which the tokenizer takes as that token, wherever it stands) go to
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -55,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = Path(path).with_suffix(".tiktoken")
         self.fast = None
         if ranks.exists():
@@ -66,7 +69,7 @@ class Encoder:
             self.fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def one(self, text: str) -> bytes:
-        if self.fast is None or len(text) >= 4096 and LONG_RUN.search(text):
+        if self.fast is None or any(x in text for x in self.added) or len(text) >= 4096 and LONG_RUN.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -100,6 +103,7 @@ def _cut(path: str, capacity: int, key_type: pa.DataType, schema: pa.Schema):
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
             for a, b in _runs(sizes):
@@ -107,11 +111,11 @@ def _cut(path: str, capacity: int, key_type: pa.DataType, schema: pa.Schema):
                 keys, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
                 for key, ids in zip(keys, encoder(path).encode(texts), strict=True):
                     ids += end
-                    n = len(ids) // 4
+                    n, row = len(ids) // 4, row + 1
                     for start in range(0, n, capacity):
                         part = ids[4 * start : 4 * (start + capacity)]
                         full = len(part) == 4 * capacity
-                        rows.append((key, start, len(part) // 4, zlib.crc32(part), n, None if full else part))
+                        rows.append((key, start, len(part) // 4, zlib.crc32(part), n, None if full else part, row))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         vec.tidy()
 
@@ -166,8 +170,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     total = thin.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = pieces(total["n"] + total["bytes"] // (2 * capacity), BLOCK_PIECES)
     key_type = docs.schema[key].dataType.simpleString()
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
-    schema = pa.schema([(key, arrow_key), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-    cut = thin.mapInArrow(_cut(tokenizer_path, capacity, arrow_key, schema), f"{key} {key_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    arrow_key = to_arrow_type(docs.schema[key].dataType)
+    schema = pa.schema([(key, arrow_key), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("row", pa.int64())])
+    cut = thin.mapInArrow(_cut(tokenizer_path, capacity, arrow_key, schema), f"{key} {key_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row long")
     columns = f"{key} {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return cut.withColumn("block", bucket(blocks, key, "start", "ids_crc32")).groupBy("block").applyInPandas(_pack(capacity, key), columns)
+    return cut.withColumn("block", bucket(blocks, key, "start", "ids_crc32", "row")).groupBy("block").applyInPandas(_pack(capacity, key), columns)
