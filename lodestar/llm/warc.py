@@ -9,12 +9,18 @@ own file and a lost executor leaves nothing behind that is read.
 The salvage reader walks an archive member by member (or, for plain archives,
 from version line to version line). A record that fails a check (broken
 member, bad header, wrong length or digest) opens a gap; the reader searches
-for the next place where a record passes all checks, goes on there, and logs
-the bytes between as a quarantined gap.
+for the next member or version line where a record passes all checks (in the
+middle of a line it must have a digest), goes on there, and logs the bytes
+between as a quarantined gap. Each mark is searched for once, however many
+records fail. A member may hold several records: those that pass are kept, the
+others logged. Digests may be base32 or hex in any case.
 
 Defined cases: a null payload counts as empty; repeated rows give a record
 each, and rows that equal the kept one in id and payload are all responses; a
-null page id is below every other; an empty table gives an empty result;
+null page id is below every other; a record is held in memory whole, so a
+payload must fit there several times; the records of one very common payload
+are written by the tasks that Spark's join deals them to, one if it does not
+split them; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -23,6 +29,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,6 +46,8 @@ FILE_BYTES = 32 << 20
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
+#: A record's header ends within so many bytes.
+HEAD_BYTES = 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -59,6 +69,11 @@ def record(kind: str, record_id: str, uri: str, payload: bytes, payload_digest:
     return "\r\n".join(head).encode() + END + body + END
 
 
+def record_id(key: object) -> str:
+    """A key of any type as a record id; a lone percent sign stands for null."""
+    return f"<urn:page:{'%' if key is None else urllib.parse.quote(str(key), safe='-')}>"
+
+
 def member(data: bytes, level: int = 1) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -80,11 +95,20 @@ class Bad(Exception):
     pass
 
 
+def agrees(said: str, data: bytes) -> bool:
+    """Whether a digest header fits the data: base32 or hex, in any case; an algorithm that is not known here proves nothing."""
+    name, _, value = said.partition(":")
+    if name.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return True
+    raw, value = hashlib.new(name.lower().replace("-", ""), data).digest(), value.strip().rstrip("=").lower()
+    return value in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower())
+
+
 def _parse(data: bytes, at: int = 0) -> tuple[Found, int]:
     """The record of an uncompressed buffer at `at`, and where it ends; Bad if a check fails."""
     if data[at : at + len(VERSION)] != VERSION:
         raise Bad("no version line")
-    split = data.find(END, at)
+    split = data.find(END, at, at + HEAD_BYTES)
     if split < 0:
         raise Bad("header without end")
     headers = {}
@@ -101,7 +125,7 @@ def _parse(data: bytes, at: int = 0) -> tuple[Found, int]:
     if length < 0 or data[stop : stop + len(END)] != END:
         raise Bad("wrong length")
     body = data[start:stop]
-    if (said := headers.get("warc-block-digest")) and said.startswith("sha1:") and said[5:] != digest(body):
+    if (said := headers.get("warc-block-digest")) and not agrees(said, body):
         raise Bad("wrong block digest")
     payload = body
     if headers.get("content-type", "").startswith("application/http"):
@@ -109,15 +133,13 @@ def _parse(data: bytes, at: int = 0) -> tuple[Found, int]:
         if cut < 0:
             raise Bad("HTTP head without end")
         payload = body[cut + len(END) :]
-    if headers.get("warc-type") == "response" and (said := headers.get("warc-payload-digest")) and said.startswith("sha1:") and said[5:] != digest(payload):
+    if headers.get("warc-type") == "response" and (said := headers.get("warc-payload-digest")) and not agrees(said, payload):
         raise Bad("wrong payload digest")
     return Found(headers.get("warc-type", ""), at, stop + len(END) - at, headers, payload), stop + len(END)
 
 
-def _member_at(data: bytes, at: int) -> tuple[Found, int]:
-    """The record in the gzip member at `at`; the member is inflated in steps, so that what follows it is not copied."""
-    if data[at : at + len(GZIP)] != GZIP:
-        raise Bad("no gzip member")
+def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at `at`, and where it ends; the member is inflated in steps, so that what follows it is not copied."""
     unpacker, parts, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         while not unpacker.eof and pos < len(data):
@@ -128,42 +150,75 @@ def _member_at(data: bytes, at: int) -> tuple[Found, int]:
         raise Bad(f"broken member: {e}") from None
     if not unpacker.eof:
         raise Bad("member without end")
-    plain, end = b"".join(parts), pos - len(unpacker.unused_data)
-    found, stop = _parse(plain)
-    if stop != len(plain):
-        raise Bad("bytes after the record")
-    found.offset, found.length = at, end - at
-    return found, end
+    return b"".join(parts), pos - len(unpacker.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """All records of an archive in order, and the gaps between them as records of kind `gap`."""
-    at, gap, reason = 0, None, ""
+class _Places:
+    """The next place from a position on where a member or a version line can start; each mark is searched for once over the whole archive."""
+
+    def __init__(self, data: bytes, packed: bool):
+        self.data, self.next = data, {VERSION: -1, **({GZIP: -1} if packed else {})}
+
+    def after(self, at: int) -> int:
+        for mark, known in self.next.items():
+            if known < at:
+                found = self.data.find(mark, at)
+                self.next[mark] = found if found >= 0 else len(self.data)
+        return min(self.next.values())
+
+
+def _walk(data: bytes, packed: bool) -> Iterator[Found]:
+    """Records and gaps of a buffer; `packed`: it may hold gzip members."""
+    at, gap, reason, places = 0, None, "", _Places(data, packed)
     while at < len(data):
         try:
-            found, end = _member_at(data, at) if data[at : at + len(GZIP)] == GZIP else _parse(data, at)
+            if packed and data[at : at + len(GZIP)] == GZIP:
+                plain, end = _inflate(data, at)
+                inner = list(_walk(plain, False))
+                if not any(f.kind != "gap" for f in inner):
+                    raise Bad(inner[0].reason if inner else "empty member")
+                for f in inner:
+                    # Inside a member there are no places of the file: say which bytes of its content they were.
+                    if f.kind == "gap":
+                        f.reason += f" (bytes {f.offset} to {f.offset + f.length} of the member's content)"
+                    f.offset, f.length = at, end - at
+            else:
+                found, end = _parse(data, at)
+                if gap is not None and data[at - 1] != 0x0A and "warc-block-digest" not in found.headers:
+                    # In the middle of a line only a digest tells a record from the text of a payload.
+                    raise Bad("no digest")
+                inner = [found]
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            places = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(places, default=len(data))
+            at = places.after(at + 1)
             continue
         if gap is not None:
             yield Found("gap", gap, at - gap, reason=reason)
             gap = None
-        yield found
+        yield from inner
         at = end
     if gap is not None:
         yield Found("gap", gap, len(data) - gap, reason=reason)
 
 
+def salvage(data: bytes) -> Iterator[Found]:
+    """All records of an archive in order, and the gaps between them as records of kind `gap`."""
+    return _walk(data, True)
+
+
+def _filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def _writer(folder: str, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        target, root = fs.FileSystem.from_uri(folder)
+        target, root = _filesystem(folder)
         target.create_dir(root, recursive=True)
         files: list[tuple[str, int, int]] = []
         out, name, temp, size, n = None, "", "", 0, 0
@@ -178,7 +233,7 @@ def _writer(folder: str, file_bytes: int):
                 payload = html.encode()
                 revisit = keeper != page
                 said = base64.b32encode(bytes.fromhex(sha)).decode()
-                data = member(record("revisit" if revisit else "response", f"<urn:page:{page}>", uri or "", payload, said, len(payload), f"<urn:page:{keeper}>" if revisit else None))
+                data = member(record("revisit" if revisit else "response", record_id(page), uri or "", payload, said, len(payload), record_id(keeper) if revisit else None))
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{len(files):04d}.warc.gz"
                     temp, size, n = f"{root}/_{name}.{task.taskAttemptId()}.{os.getpid()}", 0, 0
@@ -223,7 +278,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     h = f.headers
                     full = f.kind == "response"
                     said = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    length = len(f.payload) if full else int(h.get("x-payload-length", 0)) if f.kind != "gap" else None
+                    length = len(f.payload) if full or f.kind not in ("gap", "revisit") else int(h["x-payload-length"]) if h.get("x-payload-length", "").isdigit() else None
                     rows.append((path, f.kind, f.offset, f.length, h.get("warc-record-id"), h.get("warc-target-uri"), digest(f.payload) if full else said, length, h.get("warc-refers-to"), f.payload if full else None, f.reason or None))
                     held += len(f.payload)
                     if held > 8 << 20:
@@ -232,18 +287,23 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder).select("path", "content")
     return files.mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write `pages` as archives in the shared folder and return what the salvage reader finds there, one row per record."""
+    """Write `pages` as archives in the shared folder and return what the salvage reader finds there, one row per record.
+
+    What was just written has no gaps; should the reader find one, the query fails instead of returning fewer rows.
+    """
     spark = pages.sparkSession
-    folder = scratch(spark, "warc")
+    folder, kind = scratch(spark, "warc"), pages.schema[key].dataType.simpleString()
     files = write_archives(pages, folder, key, url, html)
     if not files.count():
-        return spark.createDataFrame([], f"{key} long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    return read_archives(spark, folder).filter("kind != 'gap'").select(
-        number("record_id").alias(key), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to")
-    )
+        return spark.createDataFrame([], f"{key} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    name = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
+    back = lambda c: F.when(name(c) != "%", F.try_url_decode(name(c))).cast(kind)
+    found = read_archives(spark, folder)
+    lost = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "reason")).cast("string")
+    record_type = F.when(F.col("kind") == "gap", lost).otherwise(F.col("kind"))
+    return found.select(back("record_id").alias(key), "payload_bytes", "payload_digest", record_type.alias("record_type"), back("refers_to").alias("refers_to"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import random
 
 from lodestar.llm import warc
@@ -49,3 +51,35 @@ def test_round_trip_with_edges(spark):
     assert got[5]["payload_bytes"] == len("é漢\r\n\r\nWARC/1.1".encode()) and got[6]["payload_bytes"] == 300_000
     assert warc.round_trip(pages.limit(0)).count() == 0
     assert warc.round_trip(pages.filter("page_id = 1").union(pages.filter("page_id = 1"))).count() == 2
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Hex and lower-case digests, several records in a member, plain files, version strings inside payloads."""
+    body = b"HTTP/1.1 200 OK\r\n\r\nsee WARC/1.0 for more"
+    def rec(i, said, text=body):  # noqa: E306
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nWARC-Block-Digest: {said}\r\nContent-Type: application/http\r\nContent-Length: {len(text)}"
+        return head.encode() + warc.END + text + warc.END
+    hexed, small, wrong = f"sha1:{hashlib.sha1(body).hexdigest()}", f"SHA1:{warc.digest(body).lower()}", "sha256:" + "0" * 64
+    pair = warc.member(rec(1, hexed) + rec(2, small))
+    half = warc.member(rec(3, wrong) + rec(4, hexed))
+    kinds = [(f.kind, f.headers.get("warc-record-id")) for f in warc.salvage(pair + b"junk" + half + rec(5, wrong) + rec(6, "crc32:1"))]
+    assert kinds == [("response", "<r1>"), ("response", "<r2>"), ("gap", None), ("gap", None), ("response", "<r4>"), ("gap", None), ("response", "<r6>")]
+    (tmp_path / "a.warc").write_bytes(rec(7, hexed))
+    (tmp_path / "b.warc.gz").write_bytes(pair)
+    got = {r["record_id"]: r["payload_bytes"] for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {f"<r{i}>": len(body) - 19 for i in (1, 2, 7)}
+
+
+def test_search_for_the_next_record_is_linear():
+    import time
+
+    bad = b"WARC/1.0\r\nContent-Length: 9999999\r\n\r\nx\n"
+    began = time.time()
+    found = list(warc.salvage(bad * 60_000))
+    assert [f.kind for f in found] == ["gap"] and time.time() - began < 20
+
+
+def test_string_ids(spark):
+    pages = spark.createDataFrame([("a b", "u", "x"), ("c>%", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {"a b": ("revisit", "c>%"), "c>%": ("response", None), None: ("response", None)}
