@@ -19,8 +19,10 @@ passages of other texts that were mistaken for toxic ones.
 
 Defined cases: a null text counts as empty; an empty text, and one without
 n-grams, has the score of a bag with nothing in it, the softmax of the bias;
-repeated rows are scored one by one; labelled rows with a null label or id
-are not learned from; if both labels aren't present, every score is the share
+repeated rows are scored one by one; labelled rows with a null label or id,
+and texts above SAMPLE_TEXT bytes, are not learned from (texts of any length
+are scored, whole); an id with both labels counts as toxic; ties among rows to
+learn from are broken by the text; if both labels aren't present, every score is the share
 of label 1 (0.5 with no labels at all); an empty table gives an empty result;
 other columns are not read.
 """
@@ -34,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vec
 from .common import crc_mod, text_or_empty
@@ -262,16 +265,18 @@ def learn(texts: pa.Array, labels: np.ndarray, seed: int = 0) -> tuple[np.ndarra
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, condition: Column, bound: int = SAMPLE) -> tuple[DataFrame, float]:
     """At most `bound` labelled rows (key, text, y), half of each label as far as there are so many, chosen by a hash of the id; and the share of label 1 among all."""
-    marks = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(key).isNotNull() & condition).dropDuplicates([key])
+    # An id with both labels counts as 1.
+    marks = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col(key).isNotNull() & condition).groupBy(key).agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    parts = []
+    share = F.lit(0)
     for y in (0, 1):
-        share = min(1.0, 1.1 * (bound // 2) / max(1, n.get(y, 0)))
-        own = marks.filter((F.col("y") == y) & (F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * share)))
-        parts.append(own.orderBy(F.xxhash64(key)).limit(bound // 2))
+        share = F.when(F.col("y") == y, int((1 << 20) * min(1.0, 1.1 * (bound // 2) / max(1, n.get(y, 0))))).otherwise(share)
+    some = marks.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < share)
     texts = docs.select(F.col(key), text_or_empty(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT)
-    # No more than `bound` rows, so a broadcast of bounded size.
-    return texts.join(F.broadcast(parts[0].union(parts[1])), key).select(key, "text", "y"), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
+    # About 1.1 times `bound` ids, so a broadcast of bounded size. The bound holds after the join, as an id may have many rows.
+    joined = texts.join(F.broadcast(some), key)
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(key), "text"))
+    return joined.withColumn("_place", place).filter(F.col("_place") <= bound // 2).select(key, "text", "y"), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
 
 
 def held_out(key: str = "doc_id") -> Column:
