@@ -13,8 +13,9 @@ All group statistics are sums by group, combined before the shuffle; a group's
 rows never meet in one task.
 
 Defined cases: a null text counts as empty; a null host or path is a group of
-its own; repeated rows count as often as they occur; labelled rows with a null
-label or id are not learned from; with fewer than two labels the evidence is
+its own, whatever names there are; repeated rows count as often as they occur;
+very long texts are described whole; labelled rows with a null label or id are
+not learned from; an id with both labels counts as 0; with fewer than two labels the evidence is
 the share of label 1 (0.5 without labels); an empty table gives an empty
 result; other columns are not read.
 """
@@ -103,6 +104,11 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _name(c: Column) -> Column:
+    """A group's name that no other has: null gives the empty string, all else starts with a sign."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def prior_weight(groups: DataFrame, parent_mean: Column) -> float:
     """How many documents the parent's mean is worth: the ratio of the variance within groups to that between them.
 
@@ -126,18 +132,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = SAMPLE) -> DataFrame:
     """(key, held_out, evidence, host_posterior, path_posterior, score, kept) for every row of `docs`."""
-    marks = labels.select(F.col(key), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col(key).isNotNull() & ~held_out(key)).dropDuplicates([key])
+    marks = labels.select(F.col(key), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("y").alias("y"))
     n = marks.count()
     marks = marks.filter(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * bound / max(1, n)))).orderBy(F.xxhash64(key)).limit(bound)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "place"])
 
-    # No more than `bound` rows, so a broadcast of bounded size; their statistics, not their texts, go to the driver.
-    chosen = docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(marks), key).select("text", "y")
-    sample = chosen.mapInArrow(described, "x array<double>, y double").toPandas()
+    # No more than `bound` ids, so a broadcast of bounded size; statistics, not texts, go to the driver, of no more than `bound` rows, as an id may have many.
+    chosen = docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(marks), key).select("text", "y", F.xxhash64(key).alias("place"))
+    sample = chosen.mapInArrow(described, "x array<double>, y double, place long").orderBy("place", "x").limit(bound).toPandas()
     # Rows arrive in any order; a fixed one makes the fit repeatable.
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), STATISTICS)
     y = sample["y"].to_numpy(float)
@@ -150,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(model.value.logits(batch.column(3)))], names=[key, "host", "path", "logit"])
         vec.tidy()
 
-    rows = docs.select(F.col(key), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(key), _name(host).alias("host"), _name(path).alias("path"), text_or_empty(text).alias("text"))
     seen = keep(rows.mapInArrow(weigh, f"{key} {kind}, host string, path string, logit double").withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
 
     sums = lambda *by: (F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"))
