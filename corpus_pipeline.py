@@ -21,6 +21,8 @@ from lodestar.llm.common import keep, with_row_key
 from lodestar.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least share of its judgement that the byte network must give to one language; below it, the text is in none that it knows.
+LEAST_SCORE = 1 / 3
 
 
 #: What a row takes along besides its id while it is judged.
@@ -34,8 +36,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, as do all if there was nothing to learn from; the network's score rejects none."""
-    return language_id.identify(docs, carry=CARRIED).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    """Documents go that have no letter, or of which the network gives no language LEAST_SCORE; all go if there was nothing to learn from."""
+    verdict = language_id.identify(docs, carry=CARRIED)
+    return verdict.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
