@@ -1,12 +1,12 @@
 from __future__ import annotations
 
 import corpus_pipeline as cp
-from lodestar.llm import decontaminate, jaccard_join, toxicity
+from lodestar.llm import decontaminate, jaccard_join, language_id, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_each_stage_takes_effect_and_keeps_the_rest(spark):
+def test_each_stage_takes_effect_and_keeps_the_rest(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in cp.STAGES[:-1]:
         out = cp.keep(stage(spark, docs, SF), name)
@@ -20,7 +20,12 @@ def test_each_stage_takes_effect_and_keeps_the_rest(spark):
         elif name == "decontamination":
             want = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
         else:
-            want = gone
+            verdict = language_id.identify(docs).collect()
+            want = {r["doc_id"] for r in verdict if r["lang_pred"] == language_id.UNKNOWN or r["score"] < cp.LEAST_SCORE}
+            middle = sorted(r["score"] for r in verdict)[len(verdict) // 2]
+            monkeypatch.setattr(cp, "LEAST_SCORE", middle)
+            assert stage(spark, docs, SF).count() == sum(r["score"] >= middle and r["lang_pred"] != language_id.UNKNOWN for r in verdict)
+            monkeypatch.undo()
         assert gone == want
         docs = out
     packed = cp.run(spark, SF)
