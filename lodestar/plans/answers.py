@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import security
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import evidence as E
@@ -30,30 +29,6 @@ def behavior(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.behavior(F.col("text")).alias("behavior"))
 
 
-_INSPECT = r"""regexp_matches(text, '(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{16,}') AS model_key, regexp_matches(text, '(?:^|[^A-Z0-9])AKIA[0-9A-Z]{16}(?:[^A-Z0-9]|$)') AS cloud_key, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS private_key,
- regexp_matches(text, '(?i)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|passwd)\s*[:=]\s*[''"]?[A-Za-z0-9_./+\-=]{8,}') AS assigned_secret"""
-
-
-@query("x7_credential_scan", f"SELECT doc_id, {_INSPECT} FROM documents")
-def credentials(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", *(F.col("text").rlike(p).alias(name) for name, p in security.CREDENTIALS.items()))
-
-
-@query("x2_inspect", r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?i)ignore\s+(all\s+)?(previous|prior|above|system)|(bypass|override|disregard)\s+(the\s+)?(safety|system|previous|instructions?)|you\s+are\s+now\s+(in\s+)?developer\s+mode') AS injection,
- regexp_matches(text, '(?i)show\s+me|tell\s+me|give\s+me|reveal|dump|print|export|steal|extract') AS exfiltration, regexp_matches(text, '(?i)prevent|protect|detect|audit|rotate|revoke|redact|securely\s+store|what\s+is|explain|mitigat') AS protective FROM documents)
-SELECT doc_id, injection, exfiltration, protective FROM f""")
-def inspect(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "documents").select("doc_id", security.inspect(F.col("text")).alias("f"))
-    return f.select("doc_id", "f.injection", "f.exfiltration", "f.protective")
-
-
-@query("x4_policy_decisions")
-def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "documents").select("source", security.inspect(F.col("text")).alias("f"))
-    return f.groupBy("source", security.decision(F.col("f")).alias("action"), security.blocked(F.col("f")).alias("blocked")).agg(F.count("*").alias("n"))
-
-
 @query("w9_context_budget", """WITH r AS (SELECT source, doc_id, CAST(sum(least(n_chars, 800)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM documents) SELECT source, doc_id, used FROM r WHERE used <= 12000""")
 def budget(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("source", "doc_id", F.least("n_chars", F.lit(800)).alias("chars"))
