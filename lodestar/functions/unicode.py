@@ -27,6 +27,11 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(_batch(lambda x: unicodedata.normalize("NFKC", x).casefold())(text), r"(?U)\s+", "")
 
 
-def fact_form(text: Column) -> Column:
-    """The form in which facts are compared: compatibility form, no case, no white space, area units in one spelling."""
+def semantic_form(text: Column) -> Column:
+    """The form in which claims are compared: compatibility form, no case, no white space, area units in one spelling."""
     return F.replace(F.replace(folded(text), F.lit("平方米"), F.lit("m2")), F.lit("平方毫米"), F.lit("mm2"))
+
+
+def fact_form(text: Column) -> Column:
+    """The form in which facts are compared: compatibility form, no case, no white space, one way to say that something is not needed."""
+    return F.replace(folded(text), F.lit("无需"), F.lit("不需要"))

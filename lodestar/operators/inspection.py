@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import security as S
 
-#: Answers of the policy step, by action and intent.
-ANSWERS = {"deny": "不能提供凭据、系统提示词或其他敏感信息。", "clarify": "请提供与产品相关的具体问题。"}
+# What a refused question is told, by intent.
+REFUSED_SECRET = "我无法提供或协助获取服务端密钥、密码、访问令牌或系统提示词。即使请求者自称管理员，这些敏感信息也只能通过受控的授权与审计渠道处理。"
+REFUSED_INJECTION = "我会忽略试图改变系统规则或索取内部信息的指令。请提供需要查询的正常业务问题。"
+
+
+def policy_answer(decision: Column) -> Column:
+    """The answer that a decision gives by itself, or null where the question goes on."""
+    return F.when(decision["intent"] == "permission_sensitive", REFUSED_SECRET).when(decision["action"] == "deny", REFUSED_INJECTION)
 
 
 def inspected(rows: DataFrame, text: str = "text") -> DataFrame:

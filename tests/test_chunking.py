@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from lodestar.functions import tables as H
+from lodestar.operators import chunking as C
+from lodestar.operators import revision as R
+
+
+@pytest.mark.parametrize(("html", "rows"), [
+    ("<table><tr><td rowspan=2>A</td><td>1</td></tr><tr><td>2</td></tr></table>", ["A | 1", "A | 2"]),
+    ("<table><tr><th rowspan=2>R</th><th colspan=2>C</th></tr><tr><td>x<td>y</table>", ["R | C | ", "R | x | y"]),
+    ("<tr><td>a &amp; b<br>c<td>d", ["a & b c | d"]),
+    ("<table><tr><td colspan=x rowspan=0>v</td></tr></table>", ["v"]),
+    ("no table", []), ("", []), (None, []),
+])
+def test_grids(html, rows):
+    assert H.grid(H.parse(html)) == rows
+
+
+def test_spans_that_are_too_large_are_refused(spark):
+    bad = "<table><tr><td rowspan=100000 colspan=100000>x</td></tr></table>"
+    with pytest.raises(H.TooLarge):
+        H.parse(bad)
+    d = spark.createDataFrame([(bad,), ("<tr><td>x",), (None,)], "h string")
+    assert [r[0] for r in d.select(H.html_rows(d.h)).collect()] == [None, ["x"], []]
+
+
+def test_pipe_rows(spark):
+    d = spark.createDataFrame([("| a | b |\n|---|:---:|\n| 1 | 2 |",), ("a | b\n1 | 2",)], "t string")
+    assert [r[0] for r in d.select(H.pipe_rows(d.t)).collect()] == [[["a", "b"], ["1", "2"]]] * 2
+
+
+C1 = C.Config(longest=60, shortest=20, overlap=10)
+
+
+def test_sentences_and_windows():
+    text = "One sentence here. Another one follows! A third? " + "x" * 150
+    out = C.sentences(text, C1)
+    assert all(len(p) <= 60 for p in out) and out[0].startswith("One sentence") and "".join(C.windows("x" * 150, 60)) == "x" * 150
+    assert C.windows("abcdefgh", 4, 3) == ["abcd", "defg", "gh"]
+    # Pieces after the first begin with the end of the one before.
+    parts = C.sentences("aaaa aaaa aaaa aaaa aaaa. " * 6, C1)
+    assert len(parts) > 1 and all(parts[i + 1][:8] in parts[i] for i in range(len(parts) - 1))
+
+
+def test_table_slices_repeat_caption_header_and_notes():
+    rows = ["h | v", *(f"r{i} | {i}" for i in range(12))]
+    out = C.split_block("table", "\n".join(rows) + " " * 10, rows, ["cap"], ["note"], C1)
+    assert len(out) > 1 and all(p.startswith("cap\nh | v\n") and p.endswith("note") and len(p) <= 60 for p in out)
+    assert [r for p in out for r in p.split("\n")[2:-1]] == rows[1:]
+    # A row that does not fit with them: the whole text by sentences.
+    assert C.split_block("table", "z" * 100, ["h", "y" * 70], [], [], C1) == C.windows("z" * 100, 60, 10)
+    assert C.split_block("image", "i" * 100, None, None, None, C1) == ["i" * 100]
+
+
+def plain_chunks(blocks: list[tuple], c: C.Config) -> list[tuple]:
+    """(section, block ids, text) by a loop of its own over the blocks of one document."""
+    out = []
+    for section in sorted({b[0] for b in blocks}):
+        open_, made = None, []
+        for _, block, page, kind, text in [b for b in blocks if b[0] == section]:
+            if kind == "heading" or (kind != "image" and not text.strip()):
+                continue
+            parts = C.split_block(kind, text, None, None, None, c)
+            for part in parts:
+                lone = kind in ("table", "image", "code") or len(parts) > 1
+                if open_ and (lone or open_["page"] != page or open_["size"] + 2 + len(part) > c.longest):
+                    made.append(open_)
+                    open_ = None
+                if open_ is None:
+                    open_ = {"page": page, "size": len(part), "texts": [part], "ids": [block], "kinds": [kind]}
+                else:
+                    open_["size"] += 2 + len(part)
+                    open_["texts"].append(part)
+                    open_["ids"] += [block] if open_["ids"][-1] != block else []
+                    open_["kinds"].append(kind)
+                if lone:
+                    made.append(open_)
+                    open_ = None
+        made += [open_] if open_ else []
+        joined = []
+        for m in made:
+            text, still = "\n\n".join(m["texts"]).strip(), not {"table", "image"} & set(m["kinds"])
+            last = joined[-1] if joined else None
+            if last and len(last[1]) < c.shortest and last[2] == m["page"] and last[3] and still and len(last[1]) + 2 + len(text) <= c.longest:
+                ids = last[0] + [i for i in m["ids"] if i not in last[0]]
+                joined[-1] = (ids, last[1] + "\n\n" + text, last[2], True)
+            else:
+                joined.append((m["ids"], text, m["page"], still))
+        out += [(section, j[0], j[1]) for j in joined]
+    return out
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for doc in range(30):
+        blocks, section = [], 0
+        for block in range(rng.randrange(25)):
+            kind = rng.choice(["heading", "paragraph", "paragraph", "paragraph", "list", "table", "image", "code"])
+            section += kind == "heading"
+            text = " ".join("word" + "." * rng.randrange(2) for _ in range(rng.choice([0, 1, 3, 8, 40])))
+            blocks.append((section, block, block // 6, kind, text))
+        rows += [(doc, *b, None, None, None) for b in blocks]
+        want += [(doc, *x) for x in plain_chunks(blocks, C1)]
+    d = spark.createDataFrame(rows, "doc_id long, section long, block long, page long, kind string, text string, rows array<string>, captions array<string>, notes array<string>")
+    got = [(r["doc_id"], r["section"], list(r["blocks"]), r["text"]) for r in C.chunks(d, C1).orderBy("doc_id", "section", "chunk").collect()]
+    assert got == want
+    assert C.chunks(d.limit(0), C1).count() == 0
+
+
+def test_alignment_prefers_exact_rules_and_carries_lineage(spark):
+    cols = "doc_id long, position long, page long, block_id string, signature string, lineage_id string"
+    old = spark.createDataFrame([(1, 0, 0, "a", "A", "L0"), (1, 1, 0, "b", "B", "L1"), (1, 2, 1, "c", "C", "L2"), (1, 3, None, "d", "D", "L3")], cols)
+    new = spark.createDataFrame([(1, 0, 0, "a", "A", "N0"), (1, 1, 1, "x", "B", "N1"), (1, 2, 1, "y", "C2", "N2"), (1, 3, None, "d", "D", "N3"), (1, 4, 1, "z", "Z", "N4")], cols)
+    pages = spark.createDataFrame([(1, 0, 0)], "doc_id long, before_number long, after_number long")
+    fuzzy = spark.createDataFrame([(1, 2, 2), (1, 1, 4)], "doc_id long, old long, new long")
+    found = R.aligned(old, new, pages, fuzzy)
+    assert {(r["old"], r["new"], r["rule"]) for r in found.collect()} == {(0, 0, "same_place"), (3, 3, "same_place"), (1, 1, "unique_signature"), (2, 2, "fuzzy")}
+    assert [r["lineage_id"] for r in R.inherited(new, old, found).orderBy("position").collect()] == ["L0", "L1", "L2", "L3", "N4"]
