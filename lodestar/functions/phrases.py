@@ -32,7 +32,7 @@ def _none() -> Column:
 
 def constraints(text: Column) -> Column:
     """Parts of a text that state a constraint, without list marks, each once; a heading of a list is none."""
-    parts = F.split(F.replace(text, F.lit("\r"), F.lit("\n")), r"(?<=[。！？；])|\n+|(?=\|)|(?<=\|)")
+    parts = F.split(F.replace(text, F.lit("\r"), F.lit("\n")), r"(?<=[。！？；|])\n*|\n+|(?=\|)")
     bare = F.transform(parts, lambda x: F.btrim(F.regexp_replace(x, LIST_PREFIX, ""), F.lit(" \t|")))
     said = F.filter(bare, lambda x: ~x.rlike("[：:]$"))
     said = F.transform(said, lambda x: F.btrim(x, F.lit("：:")))

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import answers, blocks, chunking, corpus, evaluation, graph, history, inspection, retrieval, usage  # noqa: F401
+    from . import answers, blocks, chunking, corpus, evaluation, gate, graph, history, inspection, retrieval, rows, usage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
