@@ -14,7 +14,8 @@ alike. The seeds lose no pair of document and item that reaches `min_score`:
   pair, of next words or of next but one, that is also such a pair of the item.
 
 A document is aligned with an item wherever so many of the item's pairs stand
-within so many words, however many documents hold them.
+within so many words, however many documents hold them: first for the score
+alone, many passages side by side, then, where it is reached, for its place.
 
 The items are broadcast; a benchmark whose size, which is checked, is not small
 is taken in parts.
@@ -74,6 +75,39 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best, best_from, best_to
 
 
+def best_scores(items: list[np.ndarray], passages: list[np.ndarray], cells: int = 1 << 18) -> np.ndarray:
+    """The best scores alone of many alignments, those of passages of similar length side by side in one array."""
+    out = np.zeros(len(items), np.int64)
+    order = np.argsort([len(p) for p in passages], kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and len(passages[order[stop]]) * (stop + 1 - at) <= cells:
+            stop += 1
+        some = order[at:stop]
+        n, m = max(len(items[k]) for k in some), max(len(passages[k]) for k in some)
+        # Places behind an end hold values that do not occur on the other side.
+        a, p = np.zeros((len(some), n), U64), np.ones((len(some), m), U64)
+        for row, k in enumerate(some.tolist()):
+            a[row, : len(items[k])], p[row, : len(passages[k])] = items[k], passages[k]
+        score, slope = np.zeros((len(some), m + 1), np.int32), np.arange(m + 1, dtype=np.int32) * -GAP
+        best = np.zeros(len(some), np.int32)
+        for i in range(n):
+            step = np.where(p == a[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH))
+            step += score[:, :-1]
+            score += np.int32(GAP)
+            np.maximum(score[:, 1:], step, out=score[:, 1:])
+            np.maximum(score, 0, out=score)
+            # Gaps along the passage: a running maximum of score plus distance.
+            score += slope
+            np.maximum.accumulate(score, axis=1, out=score)
+            score -= slope
+            np.maximum(best, score.max(1), out=best)
+        out[some] = best
+        at = stop
+    return out
+
+
 def _pairs(h: np.ndarray, distance: int) -> np.ndarray:
     """The hash of each word with the one `distance` words on; the last words have none."""
     return vec.mix(h[:-distance] * U64(0xE7037ED1A0B428DB) + h[distance:] * U64(0xA0761D6478BD642F))
@@ -175,16 +209,18 @@ def _align(key: str, items: Broadcast, min_score: float, min_words: int):
                     # An alignment reaches no further than `reach` from the first of its hits; where such parts meet they are one passage.
                     start = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (row[w[1:]] != row[w[:-1]]) | (w[1:] - w[:-1] > 2 * own.reach[i[1:]])])
                     stop = np.r_[start[1:], len(i)]
-                    for x, y in zip(start.tolist(), stop.tolist(), strict=True):
-                        item, r = int(i[x]), int(row[w[x]])
-                        words, reach = own.words[item], int(own.reach[item])
-                        lo_w = max(int(at[r]), int(w[x]) - reach)
-                        hi_w = min(int(at[r + 1]), int(w[y - 1]) + reach + 1)
-                        got, a_from, a_to = smith_waterman(words, h[lo_w:hi_w])
+                    item, r = i[start], row[w[start]]
+                    lo_w = np.maximum(at[r], w[start] - own.reach[item]).tolist()
+                    hi_w = np.minimum(at[r + 1], w[stop - 1] + own.reach[item] + 1).tolist()
+                    item, r = item.tolist(), r.tolist()
+                    reached = best_scores([own.words[k] for k in item], [h[x:y] for x, y in zip(lo_w, hi_w, strict=True)])
+                    for k, got in enumerate(reached.tolist()):
+                        words = own.words[item[k]]
                         score = got / (MATCH * len(words))
                         if score >= min_score and got >= MATCH * min(min_words, len(words)) * min_score:
-                            n_seeds = int(np.searchsorted(hits, item * len(h) + hi_w) - np.searchsorted(hits, item * len(h) + lo_w))
-                            rows.append((a + r, item, score, got // MATCH, lo_w + a_from - int(at[r]), lo_w + a_to - int(at[r]), n_seeds))
+                            got, a_from, a_to = smith_waterman(words, h[lo_w[k] : hi_w[k]])
+                            n_seeds = int(np.searchsorted(hits, item[k] * len(h) + hi_w[k]) - np.searchsorted(hits, item[k] * len(h) + lo_w[k]))
+                            rows.append((a + r[k], item[k], score, got // MATCH, lo_w[k] + a_from - int(at[r[k]]), lo_w[k] + a_to - int(at[r[k]]), n_seeds))
             if rows:
                 place, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.float64()), *(pa.array(c, pa.int64()) for c in rest[2:])], names=names)

@@ -86,3 +86,12 @@ def test_what_reaches_the_least_score_is_found(spark):
     assert len(want) >= 28
     got = dc.contaminated(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
+def test_scores_side_by_side_are_those_of_single_alignments():
+    rng = np.random.default_rng(9)
+    items = [rng.integers(2, 12, n).astype(np.uint64) for n in rng.integers(1, 30, 80)]
+    passages = [rng.integers(2, 12, n).astype(np.uint64) for n in rng.integers(0, 90, 80)]
+    want = [dc.smith_waterman(a, b)[0] for a, b in zip(items, passages, strict=True)]
+    assert dc.best_scores(items, passages, 500).tolist() == want
+    assert dc.best_scores([], []).tolist() == []
