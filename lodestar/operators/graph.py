@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import first_of, ranked
+from .sized import by_blocks
 
 #: Caps that are part of the operators: fuzzy seeds per name, triples per seed, chunks per query.
 FUZZY, TRIPLES, CHUNKS = 3, 50, 200
@@ -15,12 +16,16 @@ SEED_WEIGHT, NEIGHBOUR_WEIGHT = 2.0, 1.0
 def seeds(names: DataFrame, entities: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
     """(query_id, name, entity, match): exact matches of the names, and for names without one up to `fuzzy` entities that contain it.
 
-    The names are the question's, few; entities are scanned once for both.
+    Names without an exact match are compared with all entities in blocks of counted size.
     """
     exact = names.join(entities, F.col("name") == F.col("entity")).select("query_id", "name", "entity", F.lit("exact").alias("match"))
     open_names = names.join(exact.select("query_id", "name").distinct(), ["query_id", "name"], "left_anti")
-    near = entities.join(F.broadcast(open_names), F.contains(F.lower("entity"), F.lower("name")))
-    near = ranked(near.select("query_id", "name", "entity"), ["query_id", "name"], [F.length("entity"), F.col("entity")], fuzzy).drop("rank")
+
+    def containing(block: DataFrame) -> DataFrame:
+        near = entities.join(block, F.contains(F.lower("entity"), F.lower("name")))
+        return ranked(near.select("query_id", "name", "entity"), ["query_id", "name"], [F.length("entity"), F.col("entity")], fuzzy).drop("rank")
+
+    near = by_blocks(open_names, 128, ["query_id", "name"], containing)
     return exact.unionByName(near.withColumn("match", F.lit("fuzzy")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .fusion import ranked
 
 #: Scores of a sure and of a possible item, how many options are offered.
 HIGH, MID, OPTIONS = 0.63, 0.60, 3
@@ -13,11 +14,16 @@ HIGH, MID, OPTIONS = 0.63, 0.60, 3
 
 def confirm(candidates: DataFrame, group: str = "query_id") -> DataFrame:
     """(group, outcome, items) from (group, name, score, exact): one sure exact name, one sure name, options among sure ones, options among possible ones, none."""
-    high = F.col("score") >= HIGH
+    kind = F.when((F.col("score") >= HIGH) & F.col("exact"), "e").when(F.col("score") >= HIGH, "h").when(F.col("score") >= MID, "m")
+    known = candidates.select(group, "name", "score", kind.alias("_kind"))
+    # Three of each kind are enough for every list; how many sure ones there are is counted apart.
+    head = ranked(known.filter("_kind IS NOT NULL"), [group, "_kind"], [F.desc("score"), F.col("name")], OPTIONS)
     names = lambda cond: F.slice(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct((-F.col("score")).alias("s"), F.col("name"))))), lambda x: x["name"]), 1, OPTIONS)
-    per = candidates.groupBy(group).agg(
-        names(high & F.col("exact")).alias("e"), names(high).alias("h"), names((F.col("score") >= MID) & ~high).alias("m"), F.count_if(high).alias("n_high"),
-    )
+    k = F.col("_kind")
+    lists = head.groupBy(group).agg(names(k == "e").alias("e"), names(k != "m").alias("h"), names(k == "m").alias("m"))
+    counts = known.groupBy(group).agg(F.count_if(k.isin("e", "h")).alias("n_high"))
+    none = F.array().cast("array<string>")
+    per = counts.join(lists, group, "left").select(group, "n_high", *(F.coalesce(c, none).alias(c) for c in ("e", "h", "m")))
     outcome = F.when(F.size("e") > 0, "confirmed").when(F.col("n_high") == 1, "confirmed").when(F.col("n_high") > 1, "options").when(F.size("m") > 0, "options").otherwise("none")
     items = F.when(F.size("e") > 0, F.slice("e", 1, 1)).when(F.size("h") > 0, F.col("h")).otherwise(F.col("m"))
     return per.select(group, outcome.alias("outcome"), F.array_join(items, ",").alias("items"))

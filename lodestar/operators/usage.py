@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sized import if_small
+
 # Price tiers per million tokens (largest input, input price, output price).
 TIERS = ((128_000, 0.15, 1.5), (256_000, 0.6, 6.0), (1_000_000, 1.2, 12.0))
 CURRENCY = "CNY"
@@ -23,7 +25,7 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     meets one row instead of a range of tiers.
     """
     book = prices.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("max_input", "input_rate", "output_rate"))).alias("tiers"))
-    met = calls.join(F.broadcast(book), "model", "left")
+    met = calls.join(if_small(book, 512), "model", "left")
     met = met.withColumn("tier", F.get(F.filter("tiers", lambda t: t["max_input"] >= F.col("input_tokens")), F.lit(0))).drop("tiers")
     cost = (F.col("input_tokens") * F.col("tier.input_rate") + F.col("output_tokens") * F.col("tier.output_rate")) / 1_000_000
     return met.withColumn("cost", F.when(F.col("tier").isNull(), F.lit(0.0)).otherwise(F.round(cost, 10))).withColumn("cost_status", F.when(F.col("tier").isNull(), "unavailable").otherwise("available"))

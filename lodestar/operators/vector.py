@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import ranked
+from .sized import by_blocks
+
+#: A query's bytes with a vector of up to a thousand numbers.
+QUERY_BYTES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,12 +20,16 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, item_id, score, rank): best k of `corpus` (item_id, vector) for each of the `queries` (query_id, query).
 
-    The stated query set is the small side and is compared with all rows;
+    The stated query set is compared with all rows, in blocks of counted size;
     each task keeps k candidates per query before the shuffle.
     """
-    pairs = corpus.join(F.broadcast(queries), F.col("item_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "item_id", dot(F.col("vector"), F.col("query")).alias("score"))
-    return ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("item_id")], k)
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = corpus.join(block, F.col("item_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "item_id", dot(F.col("vector"), F.col("query")).alias("score"))
+        return ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("item_id")], k)
+
+    return by_blocks(queries, QUERY_BYTES, ["query_id"], best)
 
 
 def sparse_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:

@@ -72,7 +72,11 @@ v AS (SELECT query_id, n, kinds, round(greatest(0.0, least(1.0, (least(1.0, p[1]
 SELECT query_id, confidence, CASE WHEN n = 0 THEN 'empty_context' WHEN confidence < 0.46 THEN 'low_confidence' WHEN kinds / 5 < 0.5 THEN 'capability_not_covered' END AS refusal FROM v""")
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    s = o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.slice(F.sort_array(F.collect_list(F.col("o_totalprice") / 500000), asc=False), 1, 2).alias("p"), F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("kinds"))
+    n = o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("kinds"))
+    # The two best of each are found before they meet.
+    top = fusion.ranked(o.select(F.col("o_custkey").alias("query_id"), (F.col("o_totalprice") / 500000).alias("x")), ["query_id"], [F.desc("x")], 2)
+    p = top.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "x"))), lambda r: r["x"]).alias("p"))
+    s = n.join(p, "query_id")
     first, second = F.get("p", F.lit(0)), F.coalesce(F.get("p", F.lit(1)), F.lit(0.0))
     c = E.confidence([first - second, F.col("n") / 20, F.col("kinds") / 5, F.lit(0.5), first])
     s = s.withColumn("confidence", c)

@@ -150,3 +150,24 @@ SELECT doc_id, 'rev_' || substr(sha256('["' || doc_id || '","plain","1","' || re
 def revision_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "position", F.md5("line").alias("signature"))
     return R.revision_id(rows, F.col("doc_id").cast("string"), "plain", "1")
+
+
+@query("s3_artifact_items", """WITH d AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents WHERE doc_id % 9 <> 4)
+SELECT doc_id, 1 AS page, 0 AS item, 'title' AS type, 'body' AS layer, 'T ' || s AS text FROM d UNION ALL SELECT doc_id, 1, 1, 'page_header', 'furniture', 'head' FROM d UNION ALL SELECT doc_id, 2, 0, 'list', 'body', 'a' || l || chr(10) || 'b' FROM d
+UNION ALL SELECT doc_id, 2, 1, 'table', 'body', 'cap' || chr(10) || 'h | ' || s || chr(10) || 'note' FROM d UNION ALL SELECT doc_id, 2, 2, 'image', 'body', 'seen' FROM d WHERE doc_id % 2 = 0""")
+def artifact_items(spark: SparkSession, sf: str) -> DataFrame:
+    """A parser's artifact per document, as a list or inside an object; every ninth can't be read, blank paragraphs and empty images are dropped."""
+    from ..sources import artifacts
+
+    q = lambda c: F.to_json(F.struct(c.alias("content")))
+    s, l = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    item = lambda kind, body: F.concat(F.lit(f'{{"type":"{kind}","bbox":[0,0,1,1],"content":'), body, F.lit("}"))
+    title = item("title", F.concat(F.lit('{"level":1,"title_content":['), q(F.concat(F.lit("T "), s)), F.lit("]}")))
+    head = item("page_header", F.lit('{"page_header_content":[{"content":"head"}]}'))
+    blank = item("paragraph", F.lit('{"paragraph_content":[{"content":" "}]}'))
+    many = item("list", F.concat(F.lit('{"list_items":[{"item_content":['), q(F.lit("a")), F.lit(","), q(l), F.lit(']},{"item_content":[{"content":"b"}]}]}')))
+    cells = item("table", F.concat(F.lit('{"html":"<table><tr><th>h</th><td>'), s, F.lit('</td></tr></table>","table_caption":[{"content":"cap"}],"table_footnote":[{"content":"note"}]}')))
+    image = item("image", F.when(F.col("doc_id") % 2 == 0, '{"content":"seen"}').otherwise('{"image_caption":[]}'))
+    listed = F.concat(F.lit("[["), title, F.lit(","), head, F.lit(","), blank, F.lit("],["), many, F.lit(","), cells, F.lit(","), image, F.lit("]]"))
+    json = F.when(F.col("doc_id") % 9 == 4, F.lit("[[")).when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"pages":'), listed, F.lit("}"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"content":'), listed, F.lit("}"))).otherwise(listed)
+    return artifacts.items(table(spark, sf, "documents").select("doc_id", json.alias("json"))).select("doc_id", "page", "item", "type", "layer", "text")
