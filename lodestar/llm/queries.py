@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, packing, quality_bayes, quality_rules, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, jaccard_join, language_id, packing, quality_bayes, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -66,8 +66,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode_and_decode(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id)
+    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id, op11_bpe)
     return {f.__name__: f for f in found}
 
 
