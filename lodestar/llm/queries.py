@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, language_id, packing, quality_bayes, quality_rules, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, jaccard_join, language_id, max_sketch, packing, quality_bayes, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,8 +72,12 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id, op11_bpe)
+    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id, op11_bpe, op12_max_sketch)
     return {f.__name__: f for f in found}
 
 
@@ -142,5 +146,20 @@ FROM k LEFT JOIN n USING (rid)
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT rid, w, count(*) AS tf FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY ALL),
+q AS (SELECT row_number() OVER () AS qid, * FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM q),
+df AS (SELECT w, count(*) AS df FROM tf SEMI JOIN qt USING (w) GROUP BY w),
+sc AS (SELECT qid, rid, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(len(ws) AS BIGINT) * docs) // terms)))) AS BIGINT) AS score
+  FROM qt JOIN df USING (w) JOIN tf USING (w) JOIN d USING (rid), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM sc JOIN d USING (rid) WHERE score > 0) JOIN q USING (qid)
+WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": _OP7, "op2_warc": _OP2, "op6_chat_format": _OP6, "op9_quality_rules": _op9()}
+    return {"op7_jaccard_join": _OP7, "op2_warc": _OP2, "op6_chat_format": _OP6, "op9_quality_rules": _op9(), "op12_max_sketch": _OP12}
