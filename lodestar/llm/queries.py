@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, language_id, max_sketch, packing, quality_bayes, quality_rules, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, jaccard_join, language_id, max_sketch, packing, quality_bayes, quality_rules, sharding, toxicity, warc, whitening
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -76,8 +76,12 @@ def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_sketch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id, op11_bpe, op12_max_sketch)
+    found = (op1_sharding, op2_warc, op3_toxicity, op4_decontamination, op5_quality_bayes, op6_chat_format, op7_jaccard_join, op8_packing, op9_quality_rules, op10_language_id, op11_bpe, op12_max_sketch, op13_whitening)
     return {f.__name__: f for f in found}
 
 
