@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING, FENCE, IMAGE, TABLE, LIST = r"^#{1,6} +\S", r"^ *(?:```|~~~)", r"^ *!\[[^\]]*\]\([^)]*\) *$", r"^[^|]*\|.*\|", r"^ *(?:[-*+]|\d+[.)]) +\S"
@@ -51,34 +52,52 @@ def continued_tables(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return t.withColumn("continues_from", F.when(same, F.col("block") - 1)).drop("_head")
 
 
-def mutual_best(pairs_of: DataFrame, threshold: float, margin: float = 0.08, key: str = "doc_id") -> DataFrame:
-    """(key, old, new, score): blocks of two revisions that are each other's clear best match.
+def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, where: Column | None = None) -> DataFrame:
+    """(by, old, new, score): texts of two sides (by, position, text) whose longest-matching-block ratio is at least `least`.
 
-    Rows (key, side, position, text); only blocks that no exact rule has matched
-    come here, a few per document. Similarity is the longest-matching-block ratio.
+    Pairs are made only where a length lies within what the ratio allows of
+    the other (bands of lengths are joined, not whole groups), and are scored
+    in Arrow batches, wherever they lie; a bound by shared characters spares most of them the whole
+    comparison. `where` compares further columns, which both sides carry with
+    the prefixes `old_` and `new_`. Blank texts are like nothing.
     """
+    near = least / (2 - least)  # a ratio of 2 m / (a + b) with m <= min(a, b) needs min / max of at least this
+    band = F.floor(F.log(F.length("text").cast("double")) / -math.log(near))
+    side = lambda d, name: d.filter(F.length("text") > 0).select(*(F.col(c) if c in by else F.col(c).alias(f"{name}_{c}") for c in d.columns), band.alias("_band"))
+    a, b = side(old, "old"), side(new, "new").withColumn("_band", F.explode(F.array(*(F.col("_band") + i for i in (-1, 0, 1)))))
+    la, lb = F.length("old_text"), F.length("new_text")
+    pairs = a.join(b, [*by, "_band"]).filter(2 * F.least(la, lb) >= F.lit(least) * (la + lb))
+    pairs = pairs if where is None else pairs.filter(where)
+
+    @F.pandas_udf("double")
+    def ratio(new_text: pd.Series, old_text: pd.Series) -> pd.Series:
+        out, known = [], SequenceMatcher(None)
+        for n, o in zip(new_text, old_text, strict=True):
+            if known.b != o:
+                known.set_seq2(o)
+            known.set_seq1(n)
+            out.append(known.ratio() if known.quick_ratio() >= least else 0.0)
+        return pd.Series(out)
+
+    scored = pairs.withColumn("score", ratio("new_text", "old_text")).filter(F.col("score") >= least)
+    return scored.select(*by, F.col("old_position").alias("old"), F.col("new_position").alias("new"), "score")
+
+
+def clear_best(pairs: DataFrame, threshold: float, margin: float = 0.08, key: str = "doc_id") -> DataFrame:
+    """Of scored pairs (key, old, new, score), those that are the best of both sides, by `margin` over the next best of either."""
+    best = pairs
+    for side, other in (("new", "old"), ("old", "new")):
+        w = Window.partitionBy(key, side).orderBy(F.desc("score"), F.desc(other))
+        best = best.withColumn(f"_{side}", F.row_number().over(w)).withColumn(f"_{side}_next", F.lead("score").over(w))
+    clear = lambda side: (F.col(f"_{side}") == 1) & (F.col(f"_{side}_next").isNull() | (F.col("score") - F.col(f"_{side}_next") >= margin))
+    return best.filter((F.col("score") >= threshold) & clear("new") & clear("old")).select(key, "old", "new", "score")
+
 
-    def best(options: dict) -> dict:
-        out = {}
-        for a, scored in options.items():
-            scored = sorted(scored, reverse=True)
-            if scored and scored[0][0] >= threshold and (len(scored) == 1 or scored[0][0] - scored[1][0] >= margin):
-                out[a] = scored[0]
-        return out
-
-    def align(rows: pd.DataFrame) -> pd.DataFrame:
-        old = [(p, t) for p, t, s in zip(rows["position"], rows["text"], rows["side"], strict=True) if s == "old" and t]
-        new = [(p, t) for p, t, s in zip(rows["position"], rows["text"], rows["side"], strict=True) if s == "new" and t]
-        forward: dict = {p: [] for p, _ in new}
-        backward: dict = {p: [] for p, _ in old}
-        for n, b in new:
-            for o, a in old:
-                score = SequenceMatcher(None, b, a).ratio()
-                forward[n].append((score, o))
-                backward[o].append((score, n))
-        there, back = best(forward), best(backward)
-        hits = [(rows[key].iloc[0], o, n, round(s, 6)) for n, (s, o) in there.items() if o in back and back[o][1] == n]
-        return pd.DataFrame(hits, columns=[key, "old", "new", "score"])
-
-    kind = dict(pairs_of.dtypes)
-    return pairs_of.groupBy(key).applyInPandas(align, f"{key} {kind[key]}, old long, new long, score double")
+def mutual_best(pairs_of: DataFrame, threshold: float, margin: float = 0.08, key: str = "doc_id") -> DataFrame:
+    """(key, old, new, score): texts of two sides, rows (key, side, position, text), that are each other's clear best match.
+
+    A runner-up matters down to the threshold less the margin; what lies below is never compared whole.
+    """
+    one = lambda name: pairs_of.filter(F.col("side") == name).select(key, "position", "text")
+    found = clear_best(similar_pairs(one("old"), one("new"), [key], threshold - margin), threshold, margin, key)
+    return found.withColumn("score", F.round("score", 6))

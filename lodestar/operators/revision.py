@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import documents as D
+from ..functions import text as T
+from . import blocks as B
 
 
 def page_moves(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -14,41 +15,102 @@ def page_moves(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame
     return a.join(b, [key, "page_uid"]).filter("before_number != after_number")
 
 
-def page_matches(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, before_number, after_number) of pages (key, number, text) whose whole text stands once on either side."""
-    once = lambda p, name: p.groupBy(key, F.sha2("text", 256).alias("_t")).agg(F.count("*").alias("_n"), F.min("number").alias(name)).filter("_n = 1").drop("_n")
-    return once(old, "before_number").join(once(new, "after_number"), [key, "_t"]).drop("_t")
+def page_matches(old: DataFrame, new: DataFrame, threshold: float = 0.70, margin: float = 0.08, key: str = "doc_id") -> DataFrame:
+    """(key, before_number, after_number) of pages (key, number, text) that are clearly each other's best match; pages that repeat match nothing."""
+    side = lambda d: d.select(key, F.col("number").alias("position"), "text")
+    pairs = B.similar_pairs(side(old), side(new), [key], threshold - margin)
+    return B.clear_best(pairs, threshold, margin, key).select(key, F.col("old").alias("before_number"), F.col("new").alias("after_number"))
+
+
+#: What a block must have in common with another of its id to be that block.
+PAYLOAD = ("kind", "layer", "text", "image_hash", "table_html")
 
 
 def same_place(old: DataFrame, new: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, old, new): blocks (key, position, block_id, page) with the same id on pages that correspond; blocks without pages need none."""
-    a = old.select(key, "block_id", F.col("position").alias("old"), F.col("page").alias("before_number"))
-    b = new.select(key, "block_id", F.col("position").alias("new"), F.col("page").alias("after_number"))
+    """(key, old, new): blocks of one id and payload, from the same source bytes or on pages that correspond.
+
+    With other bytes, a repeated block can stand at the same place by chance:
+    then both need a page, and these must be a pair of `pages`.
+    """
+    cols = ("block_id", "source_hash", "page", "position", *PAYLOAD)
+    a = old.select(key, *(F.col(c) if c == "block_id" else F.col(c).alias(f"_a_{c}") for c in cols))
+    b = new.select(key, *(F.col(c) if c == "block_id" else F.col(c).alias(f"_b_{c}") for c in cols))
     both = a.join(b, [key, "block_id"])
-    paged = both.filter("before_number IS NOT NULL AND after_number IS NOT NULL").join(pages, [key, "before_number", "after_number"], "left_semi")
-    return paged.unionByName(both.filter("before_number IS NULL AND after_number IS NULL")).select(key, "old", "new")
+    for c in PAYLOAD:
+        both = both.filter(F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")))
+    met = pages.select(F.col(key), F.col("before_number").alias("_a_page"), F.col("after_number").alias("_b_page"), F.lit(True).alias("_met"))
+    same = (F.col("_a_source_hash") == F.col("_b_source_hash")) | F.coalesce("_met", F.lit(False))
+    return both.join(met, [key, "_a_page", "_b_page"], "left").filter(same).select(key, F.col("_a_position").alias("old"), F.col("_b_position").alias("new"))
+
+
+def _signed(blocks: DataFrame, key: str) -> DataFrame:
+    """Body blocks with their signature and how often it stands in the whole revision."""
+    body = blocks.filter("layer = 'body'").withColumn("_sig", F.sha2(F.to_json(F.array(F.col("kind"), F.to_json("title_path"), F.col("text"))), 256))
+    return body.withColumn("_times", F.count("*").over(Window.partitionBy(key, "_sig")))
 
 
-def aligned(old: DataFrame, new: DataFrame, pages: DataFrame, fuzzy: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, old, new, rule): blocks that are one, by id on corresponding pages, then by a signature that is unique on both sides, then by `fuzzy` pairs.
+def aligned(old: DataFrame, new: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, old, new, rule): which blocks of two revisions are one.
 
-    Each rule sees only what the ones before it left over on both sides.
+    Blocks are rows (key, position, block_id, source_hash, kind, layer,
+    title_path, text, image_hash, table_html, page), `text` with white space
+    normalised and `page` null where there is none; `pages` (key, before_number,
+    after_number) says which pages correspond.
+
+    By id at the same place (furniture too); then by a signature of kind, title
+    path and text that stands once in either whole revision, whatever was matched before;
+    then body blocks of one kind and title path, on pages that do not contradict,
+    whose texts are each other's clear best match: 0.78 with a page, 0.85 without.
+    Equal texts that stand more than once are never told apart by that.
     """
     found = same_place(old, new, pages, key).withColumn("rule", F.lit("same_place"))
+    a, b = _signed(old, key), _signed(new, key)
     rest = lambda rows, side: rows.join(found.select(key, F.col(side).alias("position")), [key, "position"], "left_anti")
-    unique = D.unique_matches(rest(old, "old"), rest(new, "new"), key).select(key, "old", "new", F.lit("unique_signature").alias("rule"))
+    once = lambda rows, side: rest(rows.filter("_times = 1"), side).select(key, "_sig", F.col("position").alias(side))
+    unique = once(a, "old").join(once(b, "new"), [key, "_sig"]).select(key, "old", "new", F.lit("unique_signature").alias("rule"))
     found = found.unionByName(unique)
-    if fuzzy is not None:
-        open_pairs = fuzzy.join(found.select(key, "old"), [key, "old"], "left_anti").join(found.select(key, "new"), [key, "new"], "left_anti")
-        found = found.unionByName(open_pairs.select(key, "old", "new", F.lit("fuzzy").alias("rule")))
-    return found
+    turned = pages.select(key, F.col("before_number").alias("_was"), F.col("after_number").alias("page"))
+    path = F.to_json("title_path").alias("_path")
+    left = rest(a, "old").select(key, "kind", path, "position", "text", "_sig", "_times", F.col("page").alias("uid"))
+    right = rest(b, "new").join(turned, [key, "page"], "left").select(key, "kind", path, "position", "text", "_sig", "_times", F.coalesce("_was", F.when(F.col("page").isNotNull(), F.lit(-1))).alias("uid"))
+    repeated = (F.col("old__sig") == F.col("new__sig")) & (F.greatest("old__times", "new__times") > 1)
+    apart = F.coalesce(F.col("old_uid") != F.col("new_uid"), F.lit(False))
+    pairs = B.similar_pairs(left, right, [key, "kind", "_path"], PAGED, ~repeated & ~apart)
+    paged = right.select(key, F.col("position").alias("new"), F.col("uid").isNotNull().alias("_paged"))
+    strong = pairs.join(paged, [key, "new"]).filter((F.col("score") >= UNPAGED) | F.col("_paged"))
+    return found.unionByName(B.clear_best(strong, PAGED, key=key).select(key, "old", "new", F.lit("fuzzy").alias("rule")))
+
+
+#: Least similarity of changed blocks on pages, and of those without.
+PAGED, UNPAGED = 0.78, 0.85
 
 
-def inherited(new: DataFrame, old: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The new blocks with the lineage ids of the blocks that they are; others keep their own."""
+def inherited(new: DataFrame, old: DataFrame, found: DataFrame, revision: Column | str = "revision_id", key: str = "doc_id", length: int = 24) -> DataFrame:
+    """The new blocks with the lineage ids of the blocks that they are; no two blocks of a document end with one id.
+
+    A block that is none of the old ones keeps its id unless a block has
+    inherited it or an earlier one bears it. Then it gets one made of document, revision,
+    block id and a number, the first number whose id is free. Rounds end when
+    no id is taken twice, after the first unless digests collide.
+    """
     was = old.select(key, F.col("position").alias("old"), F.col("lineage_id").alias("_was"))
     mine = found.join(was, [key, "old"]).select(key, F.col("new").alias("position"), "_was")
-    return new.join(mine, [key, "position"], "left").withColumn("lineage_id", F.coalesce("_was", "lineage_id")).drop("_was")
+    all_ = new.join(mine, [key, "position"], "left").withColumn("_own", F.col("lineage_id")).withColumn("lineage_id", F.coalesce("_was", "_own"))
+    order = Window.partitionBy(key, "lineage_id").orderBy(F.col("_was").isNull(), "position")
+    ranked = all_.withColumn("_n", F.row_number().over(order))
+    keeps = F.col("_was").isNotNull() | (F.col("_n") == 1)
+    done, clash = ranked.filter(keeps).drop("_n"), ranked.filter(~keeps).drop("_n")
+    said = F.col(revision) if isinstance(revision, str) else revision
+    nonce = 0
+    while not clash.isEmpty():
+        made = clash.withColumn("lineage_id", T.stable_id("lin", F.col(key), F.lit("unmatched"), said, F.col("block_id"), F.lit(nonce), length=length))
+        first = F.row_number().over(Window.partitionBy(key, "lineage_id").orderBy("position"))
+        taken = done.select(key, "lineage_id", F.lit(True).alias("_taken")).distinct()
+        tried = made.withColumn("_n", first).join(taken, [key, "lineage_id"], "left")
+        free = (F.col("_n") == 1) & F.col("_taken").isNull()
+        done, clash = done.unionByName(tried.filter(free).select(*done.columns)), tried.filter(~free).select(*done.columns)
+        nonce += 1
+    return done.select(*new.columns)
 
 
 def difference(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -74,9 +136,7 @@ def revision_id(rows: DataFrame, source_hash: Column, parser: str, version: str,
 
 def document_id(explicit: Column, content_hash: Column) -> Column:
     """From an explicit key if there is one that is not blank, else from the content; never from a file's name."""
-    from ..functions.text import stable_id
-
-    return F.when(F.trim(F.coalesce(explicit, F.lit(""))) != "", stable_id("doc", F.trim(explicit))).otherwise(F.concat(F.lit("doc_"), F.substring(content_hash, 1, 24)))
+    return F.when(F.trim(F.coalesce(explicit, F.lit(""))) != "", T.stable_id("doc", F.trim(explicit))).otherwise(F.concat(F.lit("doc_"), F.substring(content_hash, 1, 24)))
 
 
 def parse_action(status: Column, attempt: Column, attempts: Column) -> Column:

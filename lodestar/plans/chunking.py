@@ -104,21 +104,61 @@ def page_moves(spark: SparkSession, sf: str) -> DataFrame:
     return R.page_moves(*pages)
 
 
-@query("d7_alignment", f"""WITH {_L}, pa AS (SELECT doc_id, position // 3 AS page, string_agg(text, chr(10) ORDER BY position) AS t FROM o GROUP BY ALL), pb AS (SELECT doc_id, position // 3 AS page, string_agg(text, chr(10) ORDER BY position) AS t FROM n GROUP BY ALL),
-pm AS (SELECT a.doc_id, a.page AS pa, b.page AS pb FROM (SELECT doc_id, t, min(page) AS page FROM pa GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT doc_id, t, min(page) AS page FROM pb GROUP BY ALL HAVING count(*) = 1) b USING (doc_id, t)),
-s AS (SELECT o.doc_id, o.position AS old, n.position AS new, 'same_place' AS rule FROM o JOIN n ON o.doc_id = n.doc_id AND o.position % 3 = n.position % 3 AND o.text = n.text JOIN pm ON pm.doc_id = o.doc_id AND pm.pa = o.position // 3 AND pm.pb = n.position // 3),
-ro AS (SELECT o.*, trim(regexp_replace(o.text, '\\s+', ' ', 'g')) AS sig FROM o ANTI JOIN s ON s.doc_id = o.doc_id AND s.old = o.position), rn AS (SELECT n.*, trim(regexp_replace(n.text, '\\s+', ' ', 'g')) AS sig FROM n ANTI JOIN s ON s.doc_id = n.doc_id AND s.new = n.position),
-u AS (SELECT doc_id, a.p AS old, b.p AS new, 'unique_signature' AS rule FROM (SELECT doc_id, sig, min(position) AS p FROM ro GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT doc_id, sig, min(position) AS p FROM rn GROUP BY ALL HAVING count(*) = 1) b USING (doc_id, sig))
-SELECT doc_id, CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, rule FROM (SELECT * FROM s UNION ALL SELECT * FROM u)""")
-def alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of two revisions: by place within pages that are the same, then by texts that are unique on both sides."""
-    sides, pages = [], []
-    for rows in _revisions(spark, sf):
+# Blocks of both revisions: digests as texts, so that only what was edited is alike; the section is given by the first letter of the line, every ninth line is furniture.
+_A = _L + r""",
+ob AS (SELECT doc_id, position, md5(text) AS text, md5(text) AS base, left(text, 1) AS path, CASE WHEN position % 9 = 4 THEN 'furniture' ELSE 'body' END AS layer, CASE WHEN doc_id % 4 > 0 THEN page END AS page, md5(text) || (position % 3) || page AS id FROM o),
+nb AS (SELECT doc_id, position, CASE WHEN was % 5 = 1 THEN md5(left(text, -4)) || ' new' ELSE md5(text) END AS text, CASE WHEN was % 5 = 1 THEN md5(left(text, -4)) ELSE md5(text) END AS base, left(text, 1) AS path, CASE WHEN was % 9 = 4 THEN 'furniture' ELSE 'body' END AS layer,
+  CASE WHEN doc_id % 4 > 0 THEN position // 3 END AS page, (CASE WHEN was % 5 = 1 THEN md5(left(text, -4)) || ' new' ELSE md5(text) END) || (position % 3) || (position // 3) AS id FROM n),
+pg AS (SELECT doc_id, position // 3 AS after, min(was) // 3 AS before FROM n WHERE doc_id % 4 > 0 AND (position // 3) % 4 <> 3 GROUP BY doc_id, position // 3),
+pm AS (SELECT * FROM pg QUALIFY count(*) OVER (PARTITION BY doc_id, before) = 1),
+s AS (SELECT a.doc_id, a.position AS old, b.position AS new FROM ob a JOIN nb b USING (doc_id, id) LEFT JOIN pm ON pm.doc_id = a.doc_id AND pm.before = a.page AND pm.after = b.page WHERE a.layer = b.layer AND a.text = b.text AND (a.doc_id % 3 = 0 OR pm.doc_id IS NOT NULL)),
+sa AS (SELECT *, count(*) OVER (PARTITION BY doc_id, path, text) AS times FROM ob WHERE layer = 'body'), sb AS (SELECT *, count(*) OVER (PARTITION BY doc_id, path, text) AS times FROM nb WHERE layer = 'body'),
+u AS (SELECT a.doc_id, a.position AS old, b.position AS new FROM sa a JOIN sb b USING (doc_id, path, text) WHERE a.times = 1 AND b.times = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = a.doc_id AND (s.old = a.position OR s.new = b.position))),
+f AS (SELECT a.doc_id, a.position AS old, b.position AS new FROM sa a JOIN sb b USING (doc_id, path, base) LEFT JOIN pm ON pm.doc_id = b.doc_id AND pm.after = b.page
+  WHERE NOT (a.text = b.text AND greatest(a.times, b.times) > 1) AND coalesce(a.page = coalesce(pm.before, -1), true) AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM s UNION ALL SELECT * FROM u) m WHERE m.doc_id = a.doc_id AND (m.old = a.position OR m.new = b.position))),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, old) AS x, count(*) OVER (PARTITION BY doc_id, new) AS y FROM f),
+al AS (SELECT doc_id, old, new, 'same_place' AS rule FROM s UNION ALL SELECT doc_id, old, new, 'unique_signature' FROM u UNION ALL SELECT doc_id, old, new, 'fuzzy' FROM c WHERE x = 1 AND y = 1)"""
+
+
+def _block_revisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Old blocks, new blocks, pages that correspond."""
+    sides = []
+    for edited, rows in zip((False, True), _revisions(spark, sf), strict=True):
         page = F.floor(F.col("position") / 3)
-        pages.append(rows.groupBy("doc_id", page.alias("number")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n").alias("text")))
-        block = F.concat_ws("|", F.col("position") % 3, F.md5("text"))
-        sides.append(rows.select("doc_id", "position", page.alias("page"), block.alias("block_id"), T.normalized(F.col("text")).alias("signature")))
-    return R.aligned(*sides, R.page_matches(*pages))
+        text = F.when(F.lit(edited) & (F.col("was") % 5 == 1), F.concat(F.md5(F.regexp_replace("text", r" new\z", "")), F.lit(" new"))).otherwise(F.md5("text"))
+        none = F.lit(None).cast("string")
+        source = F.when(F.col("doc_id") % 3 == 0, F.lit("same")).otherwise(F.lit(str(edited)))
+        layer = F.when(F.col("was") % 9 == 4, "furniture").otherwise("body")
+        sides.append(rows.select("doc_id", "position", "was", F.concat(text, (F.col("position") % 3).cast("string"), page.cast("string")).alias("block_id"), source.alias("source_hash"), F.lit("paragraph").alias("kind"), layer.alias("layer"), F.array(F.left("text", F.lit(1))).alias("title_path"), text.alias("text"), none.alias("image_hash"), none.alias("table_html"), F.when(F.col("doc_id") % 4 > 0, page).alias("page")))
+    from pyspark.sql.window import Window
+
+    p = sides[1].filter("page IS NOT NULL").groupBy("doc_id", F.col("page").alias("after_number")).agg(F.floor(F.min("was") / 3).alias("before_number")).filter("after_number % 4 != 3")
+    pages = p.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "before_number"))).filter("_n = 1").drop("_n")
+    return (*sides, pages)
+
+
+@query("d7_alignment", f"WITH {_A} SELECT doc_id, CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, rule FROM al")
+def alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of two revisions by all three rules, with and without pages, from equal and from other source bytes."""
+    return R.aligned(*_block_revisions(spark, sf))
+
+
+_SEEDED = f"""{_A}, oi AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id, text) = 1 THEN 'u' || text ELSE 'p' || position END AS lid FROM ob), ni AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id, text) = 1 AND position % 4 > 0 THEN 'u' || text ELSE 'p' || position END AS lid FROM nb),
+m AS (SELECT ni.*, oi.lid AS was FROM ni LEFT JOIN al ON al.doc_id = ni.doc_id AND al.new = ni.position LEFT JOIN oi ON oi.doc_id = al.doc_id AND oi.position = al.old),
+k AS (SELECT *, coalesce(was, lid) AS l, row_number() OVER (PARTITION BY doc_id, coalesce(was, lid) ORDER BY was IS NULL, position) AS n FROM m)"""
+
+
+@query("d7_inherited_ids", f"""WITH {_SEEDED} SELECT doc_id, CAST(position AS BIGINT) AS position, CASE WHEN was IS NOT NULL OR n = 1 THEN l ELSE 'lin_' || substr(sha256('["' || doc_id || '","unmatched","r2","' || id || '","0"]'), 1, 24) END AS lineage_id FROM k""")
+def inherited_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineage ids after an alignment: inherited ones, free ones, and new ones where a block's own is taken (positions as seeds make that frequent)."""
+    from pyspark.sql.window import Window
+
+    old, new, pages = _block_revisions(spark, sf)
+    alone = F.count("*").over(Window.partitionBy("doc_id", "text")) == 1
+    by_place = F.concat(F.lit("p"), F.col("position").cast("string"))
+    old = old.withColumn("lineage_id", F.when(alone, F.concat(F.lit("u"), "text")).otherwise(by_place))
+    new = new.withColumn("lineage_id", F.when(alone & (F.col("position") % 4 > 0), F.concat(F.lit("u"), "text")).otherwise(by_place))
+    return R.inherited(new, old, R.aligned(old, new, pages), F.lit("r2")).select("doc_id", "position", "lineage_id")
 
 
 @query("t10_revision_sets", f"""WITH {_L}, a AS (SELECT doc_id, position AS lineage, text, position // 3 AS section FROM o), b AS (SELECT doc_id, was AS lineage, text, position // 3 AS section FROM n),

@@ -6,7 +6,6 @@ import pytest
 
 from lodestar.functions import tables as H
 from lodestar.operators import chunking as C
-from lodestar.operators import revision as R
 
 
 @pytest.mark.parametrize(("html", "rows"), [
@@ -110,14 +109,3 @@ def test_chunks_equal_a_plain_loop(spark):
     got = [(r["doc_id"], r["section"], list(r["blocks"]), r["text"]) for r in C.chunks(d, C1).orderBy("doc_id", "section", "chunk").collect()]
     assert got == want
     assert C.chunks(d.limit(0), C1).count() == 0
-
-
-def test_alignment_prefers_exact_rules_and_carries_lineage(spark):
-    cols = "doc_id long, position long, page long, block_id string, signature string, lineage_id string"
-    old = spark.createDataFrame([(1, 0, 0, "a", "A", "L0"), (1, 1, 0, "b", "B", "L1"), (1, 2, 1, "c", "C", "L2"), (1, 3, None, "d", "D", "L3")], cols)
-    new = spark.createDataFrame([(1, 0, 0, "a", "A", "N0"), (1, 1, 1, "x", "B", "N1"), (1, 2, 1, "y", "C2", "N2"), (1, 3, None, "d", "D", "N3"), (1, 4, 1, "z", "Z", "N4")], cols)
-    pages = spark.createDataFrame([(1, 0, 0)], "doc_id long, before_number long, after_number long")
-    fuzzy = spark.createDataFrame([(1, 2, 2), (1, 1, 4)], "doc_id long, old long, new long")
-    found = R.aligned(old, new, pages, fuzzy)
-    assert {(r["old"], r["new"], r["rule"]) for r in found.collect()} == {(0, 0, "same_place"), (3, 3, "same_place"), (1, 1, "unique_signature"), (2, 2, "fuzzy")}
-    assert [r["lineage_id"] for r in R.inherited(new, old, found).orderBy("position").collect()] == ["L0", "L1", "L2", "L3", "N4"]
