@@ -27,16 +27,42 @@ def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d10_chunks")
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of all documents; folds over a section's pieces, which SQL cannot express: tested against a plain loop."""
-    c = C.identified(C.chunks(_sectioned(spark, sf)), C.Config())
-    return c.select("doc_id", "section", "chunk", "chunk_id", F.array_join("blocks", ",").alias("blocks"), F.length("text").cast("long").alias("chars"))
-
-
-@query("d11_pieces", f"WITH {_SECTIONED} SELECT doc_id, block, kind, CAST(0 AS BIGINT) AS part, md5(text) AS digest FROM sb WHERE kind <> 'heading' AND (kind = 'image' OR (trim(text) <> '' AND length(text) <= 1000))")
+    """Chunks of all documents; a fold over a section's pieces, which SQL cannot express: tested against a plain loop over the same tables."""
+    c = C.identified(C.chunks(_sectioned(spark, sf)), C.Config(), F.concat(F.lit("rev"), F.col("doc_id").cast("string")))
+    return c.select("doc_id", "section", "chunk", "chunk_id", "part", F.array_join("blocks", ",").alias("blocks"), F.array_join("pages", ",").alias("pages"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+# Cut positions found step by step: the units of a text (or the rows of a table) that still fit, counted from where the piece begins.
+_STRIP = r"regexp_replace({0}, '^[\s ]+|[\s ]+$', '', 'g')"
+_UNITS = r"'[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+'"
+_PIECES = rf"""WITH RECURSIVE {_SECTIONED.replace('WITH ', '')},
+e AS (SELECT row_number() OVER () AS rid, doc_id, block, kind, text, length(text) AS n FROM sb WHERE kind <> 'heading' AND (kind = 'image' OR trim(text) <> '')),
+tl AS (SELECT rid, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM e WHERE kind = 'table' AND n > 1200),
+tr AS (SELECT rid, i, array_to_string(list_transform(string_split(trim(trim(line), '|'), '|'), lambda x: trim(x)), ' | ') AS row FROM tl WHERE NOT (i = 2 AND regexp_matches(line, '^\s*\|?\s*:?-{{3,}}:?\s*(?:\|\s*:?-{{3,}}:?\s*)+\|?\s*$'))),
+tc AS (SELECT rid, i, row, CASE WHEN row = '' THEN 0 ELSE length(row) + 1 END AS cost, row_number() OVER (PARTITION BY rid ORDER BY i) AS k FROM tr),
+th AS (SELECT rid, row AS head, cost AS hc FROM tc WHERE k = 1),
+tt AS (SELECT rid, any_value(head) AS head, any_value(hc) AS hc, list(row ORDER BY k) FILTER (WHERE k > 1) AS rows, list(CAST(c AS BIGINT) ORDER BY k) FILTER (WHERE k > 1) AS sums, max(cost) FILTER (WHERE k > 1) AS most, count(*) - 1 AS n
+  FROM (SELECT *, sum(CASE WHEN k > 1 THEN cost ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS c FROM tc) JOIN th USING (rid) GROUP BY rid),
+tf AS (SELECT * FROM tt WHERE n > 0 AND hc + most <= 1201),
+tp(rid, a, b) AS (SELECT rid, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tf UNION ALL SELECT t.rid, p.b, CAST(len(list_filter(t.sums, lambda x: x <= CASE WHEN p.b = 0 THEN 0 ELSE t.sums[p.b] END + 1201 - t.hc)) AS BIGINT) FROM tp p JOIN tf t ON t.rid = p.rid WHERE p.b < t.n),
+lu AS (SELECT rid, regexp_extract_all(text, {_UNITS}) AS us FROM e ANTI JOIN tf USING (rid) WHERE kind NOT IN ('image', 'code') AND n > 1200),
+lx AS (SELECT rid, generate_subscripts(us, 1) AS i, length(unnest(us)) AS l FROM lu),
+z AS (SELECT rid, list(l ORDER BY i) AS ls, list(CAST(e AS BIGINT) ORDER BY i) AS es, count(*) AS n, list(i ORDER BY i) FILTER (WHERE l > 1200) AS bigs FROM (SELECT *, sum(l) OVER (PARTITION BY rid ORDER BY i) AS e FROM lx) GROUP BY rid),
+r(rid, k, a, b, win, i, s) AS (SELECT rid, 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM z
+  UNION ALL SELECT rid, k + 1, CASE WHEN big THEN es[i] - ls[i] ELSE s END, es[j], big, j + 1, CASE WHEN big OR j = n THEN es[j] ELSE greatest(s, es[j] - greatest(0, least(120, 1200 - ls[j + 1]))) END FROM (
+    SELECT rid, k, i, s, z.es, z.ls, z.n, z.ls[i] > 1200 AS big, CAST(CASE WHEN z.ls[i] > 1200 THEN i ELSE least(len(list_filter(z.es, lambda x: x <= s + 1200)), coalesce(list_min(list_filter(z.bigs, lambda x: x >= i)), z.n + 1) - 1) END AS BIGINT) AS j FROM r JOIN z USING (rid) WHERE i <= z.n)),
+sp AS (SELECT rid, k, a, b, win, k = max(k) OVER (PARTITION BY rid) AS last FROM r WHERE k > 0),
+p AS (SELECT rid, 0 AS k, 0 AS pos, text AS piece FROM e WHERE kind = 'image' OR n <= 1200
+  UNION ALL SELECT rid, 0, x, substr(text, CAST(x + 1 AS BIGINT), 1200) FROM (SELECT rid, text, unnest(range(0, n, 1200)) AS x FROM e WHERE kind = 'code' AND n > 1200)
+  UNION ALL SELECT rid, 0, a, array_to_string(list_filter([head] || rows[a + 1:b], lambda x: x <> ''), chr(10)) FROM tp JOIN tf USING (rid) WHERE b > 0
+  UNION ALL SELECT rid, k, x, substr(text, CAST(x + 1 AS BIGINT), CAST(least(x + 1200, b) - x AS BIGINT)) FROM (SELECT rid, k, b, unnest(range(a, b, 1080)) AS x FROM sp WHERE win) JOIN e USING (rid)
+  UNION ALL SELECT * FROM (SELECT rid, k, a, {_STRIP.format('substr(text, a + 1, b - a)')} AS piece FROM sp JOIN e USING (rid) WHERE NOT win AND NOT (last AND {_STRIP.format('substr(text, a + 1, b - a)')} = '')))"""
+
+
+@query("d11_pieces", f"{_PIECES} SELECT doc_id, block, kind, row_number() OVER (PARTITION BY rid ORDER BY k, pos) - 1 AS part, count(*) OVER (PARTITION BY rid) AS n_parts, md5(piece) AS digest FROM p JOIN e USING (rid)")
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks that stay whole: images, and whatever is short enough."""
-    p = C.pieces(_sectioned(spark, sf)).filter("n_parts = 1 AND (kind = 'image' OR length(piece) <= 1000)")
-    return p.select("doc_id", "block", "kind", F.col("part").cast("long").alias("part"), F.md5("piece").alias("digest"))
+    """Every piece of every block: whole ones, texts cut at sentences or by windows, code by windows, tables by rows below their first."""
+    return C.pieces(_sectioned(spark, sf)).select("doc_id", "block", "kind", F.col("part").cast("long").alias("part"), F.col("n_parts").cast("long").alias("n_parts"), F.md5("piece").alias("digest"))
 
 
 @query("j2_chunk_lineage", f"""WITH {_SECTIONED}, k AS (SELECT *, kind || ':' || md5(text) AS lineage FROM sb WHERE kind <> 'heading')
@@ -61,12 +87,12 @@ def _html() -> Column:
 SELECT doc_id, s || ' | a & b' || pad || chr(10) || s || ' | ' || doc_id || ' x' || pad || chr(10) || l || ' | ' || pad AS rows FROM t""")
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Spans down repeat a cell's text, spans across leave blanks."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(H.html_rows(_html()), "\n").alias("rows"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(H.html_table(_html())["rows"], "\n").alias("rows"))
 
 
 @query("g17_table_cells", """SELECT doc_id, 4 AS n, CAST(2 + 1 + doc_id % 3 + 1 + 1 AS BIGINT) AS area, '0.0 0.1 1.1 2.0' AS places, CAST(2 AS BIGINT) AS headers FROM documents""")
 def table_cells(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "documents").select("doc_id", H.html_cells(_html()).alias("c"))
+    c = table(spark, sf, "documents").select("doc_id", H.html_table(_html())["cells"].alias("c"))
     place = F.transform("c", lambda x: F.concat_ws(".", x["row"], x["col"]))
     area = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + (x["row_span"] * x["col_span"]).cast("long"))
     return c.select("doc_id", F.size("c").alias("n"), area.alias("area"), F.array_join(place, " ").alias("places"), F.size(F.filter("c", lambda x: x["header"])).cast("long").alias("headers"))

@@ -25,9 +25,10 @@ def pages(json: Column) -> Column:
 
 
 def items(artifacts: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
-    """(key, page, item, type, layer, level, text, rows, captions, notes, image, bbox) of all items with content; pages count from 1.
+    """(key, page, item, type, layer, level, text, rows, fault, captions, notes, image, bbox) of all items with content; pages count from 1.
 
-    Running heads, feet and page numbers are furniture. An artifact that can't
+    Running heads, feet and page numbers are furniture. A table whose spans are
+    refused stays, without rows, and `fault` says so: a caller decides whether the document goes on. An artifact that can't
     be read gives no rows: `unreadable` names those.
     """
     page = artifacts.select(key, F.posexplode(pages(F.col(json))).alias("_p", "_items"))
@@ -37,15 +38,15 @@ def items(artifacts: DataFrame, key: str = "doc_id", json: str = "json") -> Data
     said = lambda run: F.trim(F.array_join(F.transform(run, lambda x: x["content"]), ""))
     listed = F.array_join(F.transform("c.list_items", lambda x: said(x["item_content"])), "\n")
     runs = F.coalesce(*(F.when(F.col("type") == t, said(F.col(f"c.{t}_content"))) for t in ("title", "paragraph", *FURNITURE)), F.when(F.col("type") == "list", listed))
-    rows = F.when(F.col("type") == "table", H.html_rows(F.col("c.html")))
+    grid = H.html_table(F.when(F.col("type") == "table", F.col("c.html")))
     texts = lambda a, b: F.filter(F.transform(F.coalesce(F.when(F.col("type") == "table", F.col(a)), F.when(F.col("type") == "image", F.col(b))), lambda x: F.trim(x["content"])), lambda x: x != "")
     captions, notes = texts("c.table_caption", "c.image_caption"), texts("c.table_footnote", "c.image_footnote")
     image = F.when(F.col("type").isin("table", "image"), F.col("c.image_source.path"))
-    made = c.select(key, "page", "item", "type", F.when(F.col("type").isin(*FURNITURE), "furniture").otherwise("body").alias("layer"), F.col("c.level").alias("level"), runs.alias("_runs"), rows.alias("rows"), captions.alias("captions"), notes.alias("notes"), image.alias("image"), "bbox", F.col("c.content").alias("_said"))
+    made = c.withColumn("_grid", grid).select(key, "page", "item", "type", F.when(F.col("type").isin(*FURNITURE), "furniture").otherwise("body").alias("layer"), F.col("c.level").alias("level"), runs.alias("_runs"), F.when(F.col("type") == "table", F.col("_grid.rows")).alias("rows"), F.col("_grid.fault").alias("fault"), captions.alias("captions"), notes.alias("notes"), image.alias("image"), "bbox", F.col("c.content").alias("_said"))
     whole = F.when(F.col("type") == "table", F.array_join(F.concat(F.coalesce("captions", F.array()), F.coalesce("rows", F.array()), F.coalesce("notes", F.array())), "\n"))
     seen = F.when(F.col("type") == "image", F.array_join(F.concat(F.coalesce("captions", F.array()), F.array_compact(F.array("_said")), F.coalesce("notes", F.array())), "\n"))
     made = made.withColumn("text", F.coalesce("_runs", whole, seen, F.lit("")))
-    return made.filter((F.col("text") != "") | F.col("image").isNotNull()).drop("_runs", "_said")
+    return made.filter((F.col("text") != "") | F.col("image").isNotNull() | F.col("fault").isNotNull()).drop("_runs", "_said")
 
 
 def unreadable(artifacts: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
