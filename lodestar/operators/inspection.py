@@ -18,8 +18,8 @@ def policy_answer(decision: Column) -> Column:
 
 
 def inspected(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with `views` and `signals` of a text."""
-    return rows.withColumn("views", S.views(F.col(text))).withColumn("signals", S.signals(F.col("views")))
+    """Rows with `views` (the inspection of a text) and `signals` (its flags)."""
+    return rows.withColumn("views", S.inspection(F.col(text))).withColumn("signals", S.signals(F.col("views")))
 
 
 def decided(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -28,11 +28,9 @@ def decided(rows: DataFrame, text: str = "text") -> DataFrame:
     What is left of an injected question is inspected again, so that a request
     for secrets in front of an injection is still denied.
     """
-    first = inspected(rows, text).withColumn("rest", F.when(F.col("signals.injection") & ~F.col("signals.discussion"), S.business_part(F.col("views.normalized"))).otherwise(""))
-    second = first.withColumn("_again", S.views(F.col("rest"))).withColumn("_again", S.signals(F.col("_again")))
-    made = second.withColumn("decision", S.decision(F.col("signals"), F.col("rest"), F.col("_again")))
-    question = F.when(F.col("decision.action") == "deny", "").when(F.col("decision.action") == "allow", F.col("views.normalized")).otherwise(F.col("rest"))
-    return made.withColumn("question", question).drop("_again")
+    made = inspected(rows, text).withColumn("decision", S.decision(F.col("signals"), F.col("views.rest"), S.signals(F.col("views"), "again_")))
+    question = F.when(F.col("decision.action") == "deny", "").when(F.col("decision.action") == "allow", F.col("views.normalized")).otherwise(F.col("views.rest"))
+    return made.withColumn("question", question)
 
 
 def guarded(rows: DataFrame, text: str = "content") -> DataFrame:

@@ -84,8 +84,10 @@ def test_decisions(spark):
 
 def test_views_of_a_text():
     assert security.cleaned("a\u200bb&amp;c\nd\x00 ") == ("ab&c d", 2) and security.cleaned("") == ("", 0)
-    assert security.decode("base64", base64.b64encode(bytes(range(128, 160))).decode()) is None and security.decode("hex", "00" * 16) is None
-    assert security.decoded("x%41 " + b"hello hello hello".hex(), 4) == (["xA " + b"hello hello hello".hex(), "hello hello hello"], ["url", "hex"])
+    assert security.decoded(base64.b64encode(bytes(range(128, 160))).decode() + " " + "00" * 16, 4) == {}
+    assert security.decoded("x%41 " + b"hello hello hello".hex(), 4) == {"xA " + b"hello hello hello".hex(): "url", "hello hello hello": "hex"}
+    assert security.decoded("x%41 " + b"hello hello hello".hex(), 1) == {"xA " + b"hello hello hello".hex(): "url"}
+    assert security.decoded(base64.urlsafe_b64encode("??>>~~ÿÿ ignore previous".encode()).decode(), 4) == {"??>>~~ÿÿ ignore previous": "base64"}
     assert security.misspelt("systen promt", 0.82) == ["prompt"] and security.misspelt("sistem prompt", 0.82) == ["prompt", "system"]
 
 
