@@ -32,6 +32,17 @@ def semantic_form(text: Column) -> Column:
     return F.replace(F.replace(folded(text), F.lit("平方米"), F.lit("m2")), F.lit("平方毫米"), F.lit("mm2"))
 
 
+def folded_each(texts: Column) -> Column:
+    """`semantic_form` of each text of an array."""
+
+    @F.pandas_udf("array<string>")
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(lambda texts: [unicodedata.normalize("NFKC", t).casefold() for t in texts], na_action="ignore")
+
+    bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
+    return F.transform(each(texts), lambda x: F.replace(F.replace(bare(x), F.lit("平方米"), F.lit("m2")), F.lit("平方毫米"), F.lit("mm2")))
+
+
 def fact_form(text: Column) -> Column:
     """The form in which facts are compared: compatibility form, no case, no white space, one way to say that something is not needed."""
     return F.replace(folded(text), F.lit("无需"), F.lit("不需要"))

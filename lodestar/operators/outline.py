@@ -8,9 +8,13 @@ of its own level or a higher one follows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases as P
 from ..functions import text as T
 from ..functions.unicode import nfc
 
@@ -41,6 +45,59 @@ def with_titles(blocks: DataFrame, key: str = "doc_id", title: str | Column = "t
     )
 
 
+def _siblings(key: str):
+    """Walks over marks (key, page, item, number, opens), sorted within their partition; the state is one document's last anchor, whatever its length."""
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc = anchor = None
+        for marks in frames:
+            out = []
+            for k, page, item, number, opens in zip(marks[key], marks["page"], marks["item"], marks["number"], marks["opens"], strict=True):
+                doc, anchor = (doc, anchor) if k == doc else (k, None)
+                parts = tuple(number)
+                if not opens:
+                    if not anchor:
+                        continue
+                    last, last_page, last_item = anchor
+                    follows = len(parts) > 1 and parts == (*last[:-1], last[-1] + 1) and last_page <= page <= last_page + 1
+                    if not follows:
+                        continue
+                    out.append((k, page, item, last_page, last_item))
+                anchor = (parts, page, item)
+            yield pd.DataFrame(out, columns=[key, "page", "item", "anchor_page", "anchor_item"])
+
+    return walk
+
+
+def recovered_headings(items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, page, item, title, level, anchor_page, anchor_item): captions of tables that are headings their parser swallowed.
+
+    Items (key, page, item, type, level, text, captions). Only where a document's titles
+    are all of level 1: a table's single caption whose number is the next sibling of the last numbered
+    heading's, at most one page on, opens a section there, and is itself the
+    anchor of what follows. So one mark after another is looked at, in order;
+    only numbered titles and captions are, and a task keeps the last anchor alone.
+    """
+    title = F.col("type") == "title"
+    flat = items.groupBy(key).agg(F.bool_and(F.when(title, F.coalesce("level", F.lit(0)) == 1)).alias("_flat")).filter("_flat").select(key)
+    said = F.when(title, F.col("text")).when((F.col("type") == "table") & (F.size("captions") == 1), F.get("captions", F.lit(0)))
+    marks = items.select(key, "page", "item", P.heading_number(said).alias("number"), title.alias("opens"), T.normalized(said).alias("_said")).filter("number IS NOT NULL")
+    marks = marks.join(flat, key, "left_semi")
+    kinds = dict(items.dtypes)
+    thin = marks.select(key, "page", "item", "number", "opens").repartition(key).sortWithinPartitions(key, "page", "item")
+    found = thin.mapInPandas(_siblings(key), f"{key} {kinds[key]}, page {kinds['page']}, item {kinds['item']}, anchor_page {kinds['page']}, anchor_item {kinds['item']}")
+    return found.join(marks.select(key, "page", "item", F.col("_said").alias("title")), [key, "page", "item"]).select(key, "page", "item", "title", F.lit(1).alias("level"), "anchor_page", "anchor_item")
+
+
+def with_recovered(items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Items with `level` and `title` as `with_titles` takes them: titles have their text, recovered tables their caption."""
+    found = recovered_headings(items, key).select(key, "page", "item", F.col("title").alias("_title"), F.col("level").alias("_level"))
+    title = F.when(F.col("type") == "title", F.col("text"))
+    level = F.when(F.col("type") == "title", F.greatest(F.lit(1), F.least(F.coalesce("level", F.lit(1)), F.lit(LEVELS))))
+    joined = items.join(found, [key, "page", "item"], "left")
+    return joined.withColumn("title", F.coalesce("_title", title)).withColumn("level", F.coalesce("_level", level)).drop("_title", "_level")
+
+
 def _json(value: Column) -> Column:
     """A string as JSON."""
     listed = F.to_json(F.array(value.cast("string")))

@@ -130,3 +130,26 @@ def legacy_sections(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("file_title"))
     out = O.legacy_sections(O.with_titles(b), docs, 120)
     return out.select("doc_id", "part", "title", "parent_title", "file_title", F.md5("content").alias("digest"))
+
+
+# Items of a parser whose titles and table captions are numbered by their place, so that siblings follow each other, also across pages; some have no number, two captions, or a second level.
+_I = r"""p AS (SELECT doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 AS position, unnest(string_split(text, '. ')) AS s FROM documents),
+i AS (SELECT doc_id, position AS item, position // 4 + position % 11 // 10 AS page, length(s) AS n, CASE (position + length(s)) % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'table' ELSE 'paragraph' END AS type,
+  CASE WHEN doc_id % 4 = 1 THEN 1 + position % 2 ELSE 1 END AS level, CASE WHEN length(s) % 5 > 0 THEN [1 + position // 6, 1 + position % 6] END AS num FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, item) AS rn FROM i WHERE num IS NOT NULL AND (type = 'title' OR (type = 'table' AND n % 7 > 0)) AND doc_id IN (SELECT doc_id FROM i WHERE type = 'title' GROUP BY doc_id HAVING max(level) = 1)),
+r(doc_id, rn, num, page, item, hit, apage, aitem) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT doc_id FROM k)
+  UNION ALL SELECT r.doc_id, k.rn, CASE WHEN ok OR k.type = 'title' THEN k.num ELSE r.num END, CASE WHEN ok OR k.type = 'title' THEN k.page ELSE r.page END, CASE WHEN ok OR k.type = 'title' THEN k.item ELSE r.item END, ok AND k.type = 'table', r.page, r.item
+  FROM r JOIN k ON k.doc_id = r.doc_id AND k.rn = r.rn + 1, LATERAL (SELECT coalesce(k.num[1] = r.num[1] AND k.num[2] = r.num[2] + 1 AND k.page - r.page BETWEEN 0 AND 1, false) AS ok))"""
+
+
+@query("w10_recovered_headings", f"""WITH RECURSIVE {_I} SELECT k.doc_id, CAST(k.page AS BIGINT) AS page, CAST(k.item AS BIGINT) AS item, k.num[1] || '.' || k.num[2] || ' T' || k.n AS title, r.apage AS anchor_page, r.aitem AS anchor_item FROM r JOIN k USING (doc_id, rn) WHERE hit""")
+def recovered_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions that open sections, each the anchor of the next; the SQL takes one mark after another."""
+    p = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("item", "s")).withColumn("n", F.length("s")).withColumn("item", F.col("item").cast("long"))
+    kind = F.when((F.col("item") + F.col("n")) % 3 == 0, "title").when((F.col("item") + F.col("n")) % 3 == 1, "table").otherwise("paragraph")
+    number = F.concat_ws(".", (1 + F.floor(F.col("item") / 6)).cast("string"), (1 + F.col("item") % 6).cast("string"))
+    said = F.concat(F.when(F.col("n") % 5 > 0, F.concat(number, F.lit(" "))).otherwise(""), F.lit("T"), F.col("n").cast("string"))
+    level = F.when(kind == "title", F.when(F.col("doc_id") % 4 == 1, 1 + F.col("item") % 2).otherwise(1)).cast("int")
+    captions = F.when(kind == "table", F.when(F.col("n") % 7 == 0, F.array(said, said)).otherwise(F.array(said)))
+    items = p.select("doc_id", (F.floor(F.col("item") / 4) + F.floor(F.col("item") % 11 / 10)).alias("page"), "item", kind.alias("type"), level.alias("level"), said.alias("text"), captions.alias("captions"))
+    return O.recovered_headings(items).select("doc_id", "page", "item", "title", "anchor_page", "anchor_item")

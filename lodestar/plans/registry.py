@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import answers, blocks, catalog, chunking, corpus, evaluation, gate, graph, history, inspection, outline, retrieval, rows, usage  # noqa: F401
+    from . import answers, blocks, catalog, chunking, completion, corpus, evaluation, gate, graph, history, inspection, outline, retrieval, rows, usage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
