@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,30 +28,112 @@ def _marked(kind: str, values: Column) -> Column:
     return F.transform(values, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
 
 
-def search(questions: DataFrame, leaves: DataFrame, top: int = TOP) -> DataFrame:
-    """(query_id, node_id, score, rank): the best leaves (node_id, title, text) of each question (query_id, question).
+def questions_of(questions: DataFrame) -> DataFrame:
+    """(query_id, question, tokens, m, k, asked, sure): questions with a token.
 
-    Questions are the small side: in blocks of counted size they meet the
-    leaves' distinct tokens, and the leaves' texts for the whole phrase; only
-    pairs with a hit are aggregated. A question without a token finds nothing;
-    leaves without text are not searched.
+    `asked` are their marked words with how often each counts. `sure` are words
+    that every text has which holds the whole question: all its tokens but the
+    first and the last, which a text may continue, and all CJK characters.
     """
     q = questions.select("query_id", F.trim("question").alias("question"), tokens(F.col("question")).alias("_t"), T.identifiers(F.col("question")).alias("_i")).filter(F.size("_t") > 0)
-    asked = q.select("query_id", F.size("_t").alias("m"), F.size("_i").alias("k"), F.explode(F.concat(_marked("body", F.col("_t")), _marked("title", F.col("_t")), _marked("named", F.col("_i")))).alias("x"))
-    asked = asked.groupBy("query_id", "m", "k", F.col("x.kind").alias("kind"), F.col("x.w").alias("w")).agg(F.count("*").alias("hits"))
-    body = tokens(F.col("text"))
-    named = T.identifiers(F.concat_ws(" ", "text", "title"))
-    full = leaves.filter("text != ''").select("node_id", "title", "text", body.alias("_b"))
-    words = F.concat(_marked("body", F.array_distinct("_b")), _marked("title", F.array_distinct(tokens(F.col("title")))), _marked("named", named))
-    held = full.select("node_id", F.size("_b").alias("n"), F.explode(words).alias("x")).select("node_id", "n", "x.kind", "x.w")
-    met = by_blocks(asked, 64, ["query_id"], lambda block: held.join(block, ["kind", "w"]).select("query_id", "node_id", "m", "k", "n", "kind", "hits"))
+    low = F.lower("question")
+    latin = F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1)
+    inner = F.when(F.size(latin) > 2, F.slice(latin, F.lit(2), F.greatest(F.size(latin) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    sure = F.array_distinct(F.concat(inner, F.filter("_t", lambda w: (F.length(w) == 1) & w.rlike(T.CJK))))
+    asked = F.concat(_marked("body", F.col("_t")), _marked("title", F.col("_t")), _marked("named", F.col("_i")))
+    return q.select("query_id", "question", F.size("_t").alias("m"), F.size("_i").alias("k"), asked.alias("asked"), sure.alias("sure"))
+
+
+def postings(leaves: DataFrame) -> DataFrame:
+    """(kind, w, node_id, n): which leaves (node_id, title, text) have a word in their body, title or identifiers; `n` is the body's length in tokens."""
+    full = leaves.filter("text != ''").select("node_id", "title", "text", tokens(F.col("text")).alias("_b"))
+    words = F.concat(_marked("body", F.array_distinct("_b")), _marked("title", F.array_distinct(tokens(F.col("title")))), _marked("named", T.identifiers(F.concat_ws(" ", "text", "title"))))
+    return full.select("node_id", F.size("_b").alias("n"), F.explode(words).alias("x")).select("x.kind", "x.w", "node_id", "n")
+
+
+def _phrases(q: DataFrame, held: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(query_id, node_id): leaves whose text or title holds a whole question.
+
+    Candidates are the leaves that have the rarest of its sure words, which are
+    then read and compared. Questions without a sure word, of one or two Latin
+    tokens, can stand inside longer words: those alone are looked for in all leaves, in blocks.
+    """
+    sure = q.select("query_id", "question", F.explode(F.flatten(F.array(_marked("body", F.col("sure")), _marked("title", F.col("sure"))))).alias("x")).select("query_id", "question", "x.kind", "x.w")
+    counts = by_blocks(sure.select("kind", "w").distinct(), 64, ["kind", "w"], lambda block: held.join(block, ["kind", "w"]).groupBy("kind", "w").agg(F.count("*").alias("df")))
+    rare = ranked(sure.join(counts, ["kind", "w"], "left"), ["query_id", "kind"], [F.coalesce("df", F.lit(0)), F.col("w")], 1).filter("df IS NOT NULL")
+    near = by_blocks(rare.select("query_id", "question", "kind", "w"), 1024, ["query_id"], lambda block: held.join(block, ["kind", "w"]).select("query_id", "question", "kind", "node_id"))
+    own = leaves.filter("text != ''").select("node_id", "title", "text")
+    shown = F.when(F.col("kind") == "body", F.col("text")).otherwise(F.col("title"))
+    found = near.join(own, "node_id").filter(F.contains(F.lower(shown), F.lower("question"))).select("query_id", "node_id")
+    short = q.filter(F.size("sure") == 0).select("query_id", "question")
     whole = F.contains(F.lower("text"), F.lower("question")) | F.contains(F.lower("title"), F.lower("question"))
-    said = q.select("query_id", "question", F.size("_t").alias("m"), F.size("_i").alias("k"))
-    phrases = by_blocks(said, 1024, ["query_id"], lambda block: full.join(block, whole).select("query_id", "node_id", "m", "k", F.size("_b").alias("n"), F.lit("phrase").alias("kind"), F.lit(1).cast("long").alias("hits")))
+    return found.unionByName(by_blocks(short, 1024, ["query_id"], lambda block: own.join(block, whole).select("query_id", "node_id"))).distinct()
+
+
+def _scored(q: DataFrame, held: DataFrame, leaves: DataFrame, top: int) -> DataFrame:
+    asked = q.select("query_id", F.explode("asked").alias("x")).groupBy("query_id", F.col("x.kind").alias("kind"), F.col("x.w").alias("w")).agg(F.count("*").alias("hits"))
+    met = by_blocks(asked, 64, ["query_id"], lambda block: held.join(block, ["kind", "w"]).select("query_id", "node_id", "n", "kind", "hits"))
+    lengths = leaves.filter("text != ''").select("node_id", F.size(tokens(F.col("text"))).alias("n")) if "n" not in leaves.columns else leaves.select("node_id", "n")
+    said = _phrases(q, held, leaves).join(lengths, "node_id").select("query_id", "node_id", "n", F.lit("phrase").alias("kind"), F.lit(1).cast("long").alias("hits"))
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("hits"))), F.lit(0))
-    sums = met.unionByName(phrases).groupBy("query_id", "node_id", "m", "k", "n").agg(*(part(k).alias(k) for k in ("body", "title", "named", "phrase")))
+    sums = met.unionByName(said).groupBy("query_id", "node_id", "n").agg(*(part(k).alias(k) for k in ("body", "title", "named", "phrase"))).join(q.select("query_id", "m", "k"), "query_id")
     most = lambda c, n: F.least(F.lit(1.0), F.col(c) / F.greatest(F.lit(1), F.col(n)))
     damped = 0.75 + 0.25 * F.least(F.lit(1.0), F.lit(USUAL) / F.greatest(F.lit(1), F.col("n")))
     score = BODY * (F.col("body") / F.col("m")) * damped + TITLE * most("title", "m") + NAMED * most("named", "k") + F.when(F.col("phrase") > 0, PHRASE).otherwise(0.0)
     scored = sums.select("query_id", "node_id", F.round(F.least(F.lit(1.0), score) + 1e-9, 6).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("node_id")], top)
+
+
+def search(questions: DataFrame, leaves: DataFrame, top: int = TOP) -> DataFrame:
+    """(query_id, node_id, score, rank): the best leaves (node_id, title, text) of each question (query_id, question).
+
+    Questions are the small side: in blocks of counted size they meet the
+    leaves' words; only pairs with a hit are aggregated. A question without a
+    token finds nothing; leaves without text are not searched.
+    """
+    return _scored(questions_of(questions), postings(leaves), leaves, top)
+
+
+#: Buckets of a stored index, by the hash of kind and word for postings, by that of the node for leaves.
+BUCKETS, VERSION = 256, "1"
+
+
+def _bucket(buckets: int | Column, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def store(leaves: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write the index of leaves (node_id, title, text) to a new folder: postings and leaves by bucket, and what they were made with.
+
+    The manifest is written last, so that an index without one is not whole.
+    """
+    held = postings(leaves).withColumn("bucket", _bucket(buckets, "kind", "w"))
+    held.repartition("bucket").sortWithinPartitions("kind", "w").write.partitionBy("bucket").parquet(f"{path}/postings")
+    kept = leaves.filter("text != ''").select("node_id", "title", "text", F.size(tokens(F.col("text"))).alias("n")).withColumn("bucket", _bucket(buckets, "node_id"))
+    kept.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/leaves")
+    spark = leaves.sparkSession
+    spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(buckets).alias("buckets"), F.lit(dict(leaves.dtypes)["node_id"]).alias("key")).write.json(f"{path}/manifest")
+
+
+def _pruned(spark: SparkSession, path: str, table: str, schema: str, wanted: DataFrame) -> DataFrame:
+    """The rows of some buckets; there are at most BUCKETS numbers, which the plan names, so that no other folder is opened."""
+    numbers = sorted(r[0] for r in wanted.distinct().collect())
+    return spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{table}").filter(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
+
+
+def search_stored(questions: DataFrame, path: str, top: int = TOP) -> DataFrame:
+    """As `search`, over a stored index: of the postings, only the buckets of the questions' words are read, and leaves only where a phrase may stand."""
+    spark = questions.sparkSession
+    made = spark.read.schema("version string, buckets int, key string").json(f"{path}/manifest").first()
+    if made is None or made["version"] != VERSION:
+        raise ValueError(f"{path} holds no whole index of version {VERSION}")
+    q = questions_of(questions)
+    words = q.select(F.explode("asked").alias("x")).select(_bucket(made["buckets"], "x.kind", "x.w").alias("bucket"))
+    held = _pruned(spark, path, "postings", f"kind string, w string, node_id {made['key']}, n int", words)
+    kept = spark.read.schema(f"node_id {made['key']}, title string, text string, n int, bucket int").parquet(f"{path}/leaves").drop("bucket")
+    return _scored(q, held, kept, top)
+
+
+def indexes(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path) of the whole indexes in a list of files: folders whose manifest is complete."""
+    return files.select(F.regexp_extract(path, r"^(.*)/manifest/_SUCCESS$", 1).alias("path")).filter("path != ''").distinct()
