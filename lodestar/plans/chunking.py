@@ -112,11 +112,9 @@ n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) -
 
 def _revisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = D.lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("position").cast("long").alias("position"), F.col("line").alias("text"))
-    from pyspark.sql.window import Window
-
     edited = F.when(F.col("position") % 5 == 1, F.concat("text", F.lit(" new"))).otherwise(F.col("text"))
     kept = lines.filter("position % 7 <> 2")
-    place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("position")) - 1).cast("long")
+    place = (F.col("position") - F.floor((F.col("position") + 4) / 7)).cast("long")  # less the lines that went before
     return lines.withColumn("was", F.col("position")), kept.select("doc_id", place.alias("position"), edited.alias("text"), F.col("position").alias("was"))
 
 

@@ -68,14 +68,17 @@ def context_guard(spark: SparkSession, sf: str) -> DataFrame:
 _EDGES = S.EDGES.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
 
 
-@query("x4_policy_decisions", f"""{_SQL},
+_DECISIONS = f"""{_SQL},
 b AS (SELECT *, injection AND NOT discussion AS active, CASE WHEN injection THEN trim(regexp_split_to_array(t, '{S.INJECTION}')[1], '{_EDGES}') ELSE '' END AS before,
  trim(coalesce(nullif(regexp_extract(t, '{S.LEGITIMATE[0]}', 1), ''), regexp_extract(t, '{S.LEGITIMATE[1]}', 1)), '{_EDGES}') AS after FROM f),
 r AS (SELECT doc_id, source, t AS whole, injection AS i1, violation AS v1, credentials AS c1, freshness AS f1, active,
  CASE WHEN NOT active THEN '' WHEN length(before) >= 4 THEN before WHEN after <> '' AND NOT regexp_matches(after, '{S.INJECTION}') THEN after ELSE '' END AS rest FROM b),
 a AS (SELECT *, {_flags('rest')} FROM r)
 SELECT doc_id, CASE WHEN active AND rest <> '' AND (violation OR len(credentials) > 0) THEN 'sensitive_information_exfiltration_after_sanitization' WHEN active AND rest <> '' AND NOT injection THEN 'untrusted_instruction_removed'
- WHEN len(c1) > 0 THEN 'credential_material_in_input' WHEN v1 THEN 'sensitive_information_exfiltration' WHEN active THEN 'prompt_injection_without_safe_business_query' WHEN f1 THEN 'time_sensitive_query' ELSE 'normal_business_query' END AS reason FROM a""")
+ WHEN len(c1) > 0 THEN 'credential_material_in_input' WHEN v1 THEN 'sensitive_information_exfiltration' WHEN active THEN 'prompt_injection_without_safe_business_query' WHEN f1 THEN 'time_sensitive_query' ELSE 'normal_business_query' END AS reason FROM a"""
+
+
+@query("x4_policy_decisions", _DECISIONS)
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return I.decided(_planted(spark, sf)).select("doc_id", "decision.reason")
 
@@ -99,3 +102,9 @@ def hidden_views(spark: SparkSession, sf: str) -> DataFrame:
         text = F.when(F.col("doc_id") % 6 == k, case).otherwise(text)
     v = table(spark, sf, "documents").select("doc_id", S.inspection(text).alias("v"))
     return v.select("doc_id", F.array_join("v.decoded", ",").alias("decoded"), F.array_join("v.misspelt", ",").alias("misspelt"), "v.violation", "v.injection", "v.removed")
+
+
+@query("x16_policy_answers", f"""WITH x AS ({_DECISIONS}) SELECT doc_id, CASE WHEN reason IN ('sensitive_information_exfiltration_after_sanitization', 'credential_material_in_input', 'sensitive_information_exfiltration') THEN '{I.REFUSED_SECRET}' WHEN reason = 'prompt_injection_without_safe_business_query' THEN '{I.REFUSED_INJECTION}' END AS answer FROM x""")
+def policy_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """What refused questions are told; the others go on."""
+    return I.decided(_planted(spark, sf)).select("doc_id", I.policy_answer(F.col("decision")).alias("answer"))

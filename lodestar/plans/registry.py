@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import answers, blocks, budgets, catalog, chunking, completion, corpus, evaluation, gate, graph, history, inspection, outline, replay, retrieval, rows, sources, usage  # noqa: F401
+    from . import answers, blocks, budgets, catalog, chunking, completion, corpus, evaluation, gate, graph, history, inspection, outline, replay, retrieval, rows, sources, usage, uses  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
