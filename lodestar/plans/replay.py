@@ -59,3 +59,32 @@ _DIGEST = f"WITH h AS (SELECT source, sha256({_printed(['doc_id', 'lang', 'n_cha
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """A fingerprint of each source's documents, that no order of rows or files changes."""
     return R.fingerprint(table(spark, sf, "documents"), ["source"])
+
+
+_RESULTS = "SELECT o_custkey AS k, o_orderkey AS case_id, o_orderstatus = 'F' AS passed, o_totalprice / 1000000.0 AS score, o_totalprice / 100.0 AS ms, o_orderkey % 7 = 0 AS look FROM orders WHERE o_orderkey IS NOT NULL"
+
+
+@query("k10_report_lines", f"""WITH r AS ({_RESULTS}), a AS (SELECT count(*) FILTER (WHERE passed) AS n, count(*) AS m, quantile_cont(CAST(ms AS DOUBLE), 0.5) AS p, quantile_cont(CAST(ms AS DOUBLE), 0.95) AS q FROM r)
+SELECT 0 AS part, '0:0000' AS at, '# Evaluation' AS line UNION ALL SELECT 0, '0:0001', 'Passed: ' || n || ' of ' || m FROM a UNION ALL SELECT 0, '0:0002', 'Latency: ' || printf('%.1f', round(p, 1)) || ' ms at the median, ' || printf('%.1f', round(q, 1)) || ' ms at 95 %' FROM a
+UNION ALL SELECT i, '0:0000', '## ' || ['Eligibility', 'Metrics', 'Review', 'Cases'][i] FROM (SELECT unnest([1, 2, 3, 4]) AS i) UNION ALL SELECT 1, '1:' || s, '- ' || s FROM (SELECT DISTINCT 'status ' || o_orderstatus AS s FROM orders)
+UNION ALL SELECT 2, '1:' || s, '- ' || s || ': ' || printf('%.4f', round(v, 4)) FROM (SELECT o_orderpriority AS s, CAST(count(*) AS DOUBLE) / 1024 AS v FROM orders GROUP BY ALL)
+UNION ALL SELECT 3, '1:' || case_id, '- ' || case_id || ': a; b' FROM r WHERE look UNION ALL SELECT 4, '1:' || case_id, '- ' || case_id || ': ' || CASE WHEN passed THEN 'pass' ELSE 'FAIL' END || ', score ' || printf('%.4f', round(CAST(score AS DOUBLE), 4)) || ', ' || printf('%.1f', round(CAST(ms AS DOUBLE), 1)) || ' ms' FROM r""")
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A report over all orders as cases."""
+    from ..operators import report
+
+    o = table(spark, sf, "orders")
+    results = o.select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") == "F").alias("passed"), (F.col("o_totalprice") / 1000000.0).alias("score"), (F.col("o_totalprice") / 100.0).alias("latency_ms"), F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit("a"), F.lit("b"))).alias("review"))
+    metrics = o.groupBy(F.col("o_orderpriority").alias("name")).agg((F.count("*").cast("double") / 1024).alias("value"))
+    return report.lines(results, metrics, o.select(F.concat(F.lit("status "), "o_orderstatus").alias("reason")).distinct())
+
+
+@query("d18_item_names", """SELECT doc_id, source, CASE WHEN n IS NULL THEN 'file ' || source ELSE n END AS item_name FROM documents LEFT JOIN (SELECT source AS s, min(trim(lang)) AS n FROM documents WHERE doc_id % 50 = 3 AND source <> 'src7' AND trim(lang) <> '' GROUP BY source) ON s = source WHERE source IS NOT NULL""")
+def item_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a chunk of its source; some sources have several names, one only blank ones, others none."""
+    from ..operators import report
+
+    d = table(spark, sf, "documents").filter("source IS NOT NULL")
+    name = F.when(F.col("source") == "src7", " ").otherwise(F.concat(F.lit(" "), "lang"))
+    out = report.with_item_names(d.select("source", "doc_id"), d.filter("doc_id % 50 = 3").select("source", name.alias("name")), d.select("source", F.concat(F.lit("file "), "source").alias("file_title")).distinct(), "source")
+    return out.select("doc_id", "source", "item_name")

@@ -50,3 +50,28 @@ def test_fingerprints_see_changes_but_no_order(spark):
     # Values that run into each other, and a null beside its sign, differ.
     two = lambda *r: one(spark.createDataFrame([r], "x string, y string"))
     assert len({two("a,y=1:b", "c"), two("a", "b"), two(None, "b"), two("-", "b"), two("", "b")}) == 5
+
+
+def test_reports_are_lines_in_order(spark, tmp_path):
+    from lodestar.operators import report
+
+    results = spark.createDataFrame([("a", True, 0.5, 10.0, None), ("b", None, None, None, ["x", "y"])], "case_id string, passed boolean, score double, latency_ms double, review array<string>")
+    metrics = spark.createDataFrame([("m", 0.25)], "name string, value double")
+    none = spark.createDataFrame([], "reason string")
+    out = report.lines(results, metrics, none)
+    said = [r["line"] for r in out.orderBy("part", "at").collect()]
+    assert said == ["# Evaluation", "Passed: 1 of 2", "Latency: 10.0 ms at the median, 10.0 ms at 95 %", "## Eligibility", "- fit to be a baseline", "## Metrics", "- m: 0.2500", "## Review", "- b: x; y", "## Cases", "- a: pass, score 0.5000, 10.0 ms", "- b: FAIL, score 0.0000, 0.0 ms"]
+    report.write(out, str(tmp_path / "r"))
+    files = sorted((tmp_path / "r").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == said
+    empty = report.lines(results.limit(0), metrics.limit(0), spark.createDataFrame([("r",)], "reason string")).orderBy("part", "at").collect()
+    assert [r["line"] for r in empty][1:5] == ["Passed: 0 of 0", "Latency: 0.0 ms at the median, 0.0 ms at 95 %", "## Eligibility", "- r"]
+
+
+def test_all_chunks_bear_one_name(spark):
+    from lodestar.operators import report
+
+    chunks = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, "w")], "doc_id long, item_name string")
+    names = spark.createDataFrame([(1, " b "), (1, "a"), (2, " "), (2, None)], "doc_id long, name string")
+    docs = spark.createDataFrame([(1, "f1"), (2, "f2"), (3, "f3")], "doc_id long, file_title string")
+    assert sorted((r["doc_id"], r["item_name"]) for r in report.with_item_names(chunks, names, docs).collect()) == [(1, "a"), (1, "a"), (2, "f2"), (3, "f3")]
