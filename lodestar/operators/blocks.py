@@ -52,14 +52,14 @@ def continued_tables(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return t.withColumn("continues_from", F.when(same, F.col("block") - 1)).drop("_head")
 
 
-def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, where: Column | None = None) -> DataFrame:
+def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, where: Column | None = None, floor: Column | None = None) -> DataFrame:
     """(by, old, new, score): texts of two sides (by, position, text) whose longest-matching-block ratio is at least `least`.
 
     Pairs are made only where a length lies within what the ratio allows of
     the other (bands of lengths are joined, not whole groups), and are scored
     in Arrow batches, wherever they lie; a bound by shared characters spares most of them the whole
     comparison. `where` compares further columns, which both sides carry with
-    the prefixes `old_` and `new_`. Blank texts are like nothing.
+    the prefixes `old_` and `new_`, `floor` is a higher least that depends on them. Blank texts are like nothing.
     """
     near = least / (2 - least)  # a ratio of 2 m / (a + b) with m <= min(a, b) needs min / max of at least this
     band = F.floor(F.log(F.length("text").cast("double")) / -math.log(near))
@@ -80,6 +80,7 @@ def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, w
         return pd.Series(out)
 
     scored = pairs.withColumn("score", ratio("new_text", "old_text")).filter(F.col("score") >= least)
+    scored = scored if floor is None else scored.filter(F.col("score") >= floor)
     return scored.select(*by, F.col("old_position").alias("old"), F.col("new_position").alias("new"), "score")
 
 

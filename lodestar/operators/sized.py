@@ -1,11 +1,13 @@
-"""Small sides of a join: broadcast only where their counted size allows it, in blocks beyond."""
+"""Small sides of a join: broadcast only where their counted size allows it, in blocks beyond; intermediate tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest side that is broadcast, in bytes of its rows.
@@ -24,3 +26,20 @@ def by_blocks(rows: DataFrame, row_bytes: int, key: list[str], each: Callable[[D
         return each(F.broadcast(rows))
     part = F.pmod(F.xxhash64(*key), F.lit(blocks))
     return reduce(DataFrame.unionByName, (each(F.broadcast(rows.filter(part == b))) for b in range(blocks)))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir; a temporary one only where a local session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/lodestar-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` from a table in the shared folder: what follows starts there, however often it is read and whatever executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
