@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .fusion import ranked
-from .sized import by_blocks
+from .sized import by_blocks, written
 
 #: Weights of body, title, identifiers and phrase, the usual length of a leaf in tokens, and hits a question.
 BODY, TITLE, NAMED, PHRASE, USUAL, TOP = 0.35, 0.12, 0.30, 0.20, 180.0, 8
@@ -51,30 +51,31 @@ def postings(leaves: DataFrame) -> DataFrame:
     return full.select("node_id", F.size("_b").alias("n"), F.explode(words).alias("x")).select("x.kind", "x.w", "node_id", "n")
 
 
-def _phrases(q: DataFrame, held: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(query_id, node_id): leaves whose text or title holds a whole question.
+def _phrases(q: DataFrame, hits: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(query_id, node_id, n): leaves whose text or title holds a whole question; `hits` are the postings of the questions' words.
 
     Candidates are the leaves that have the rarest of its sure words, which are
     then read and compared. Questions without a sure word, of one or two Latin
     tokens, can stand inside longer words: those alone are looked for in all leaves, in blocks.
     """
     sure = q.select("query_id", "question", F.explode(F.flatten(F.array(_marked("body", F.col("sure")), _marked("title", F.col("sure"))))).alias("x")).select("query_id", "question", "x.kind", "x.w")
-    counts = by_blocks(sure.select("kind", "w").distinct(), 64, ["kind", "w"], lambda block: held.join(block, ["kind", "w"]).groupBy("kind", "w").agg(F.count("*").alias("df")))
-    rare = ranked(sure.join(counts, ["kind", "w"], "left"), ["query_id", "kind"], [F.coalesce("df", F.lit(0)), F.col("w")], 1).filter("df IS NOT NULL")
-    near = by_blocks(rare.select("query_id", "question", "kind", "w"), 1024, ["query_id"], lambda block: held.join(block, ["kind", "w"]).select("query_id", "question", "kind", "node_id"))
+    counts = hits.groupBy("kind", "w").agg(F.count("*").alias("df"))
+    rare = ranked(sure.join(counts, ["kind", "w"]), ["query_id", "kind"], [F.col("df"), F.col("w")], 1)
+    near = by_blocks(rare.select("query_id", "question", "kind", "w"), 1024, ["query_id"], lambda block: hits.join(block, ["kind", "w"]).select("query_id", "question", "kind", "node_id", "n"))
     own = leaves.filter("text != ''").select("node_id", "title", "text")
     shown = F.when(F.col("kind") == "body", F.col("text")).otherwise(F.col("title"))
-    found = near.join(own, "node_id").filter(F.contains(F.lower(shown), F.lower("question"))).select("query_id", "node_id")
+    found = near.join(own, "node_id").filter(F.contains(F.lower(shown), F.lower("question"))).select("query_id", "node_id", "n")
     short = q.filter(F.size("sure") == 0).select("query_id", "question")
     whole = F.contains(F.lower("text"), F.lower("question")) | F.contains(F.lower("title"), F.lower("question"))
-    return found.unionByName(by_blocks(short, 1024, ["query_id"], lambda block: own.join(block, whole).select("query_id", "node_id"))).distinct()
+    return found.unionByName(by_blocks(short, 1024, ["query_id"], lambda block: own.join(block, whole).select("query_id", "node_id", F.size(tokens(F.col("text"))).alias("n")))).distinct()
 
 
 def _scored(q: DataFrame, held: DataFrame, leaves: DataFrame, top: int) -> DataFrame:
     asked = q.select("query_id", F.explode("asked").alias("x")).groupBy("query_id", F.col("x.kind").alias("kind"), F.col("x.w").alias("w")).agg(F.count("*").alias("hits"))
-    met = by_blocks(asked, 64, ["query_id"], lambda block: held.join(block, ["kind", "w"]).select("query_id", "node_id", "n", "kind", "hits"))
-    lengths = leaves.filter("text != ''").select("node_id", F.size(tokens(F.col("text"))).alias("n")) if "n" not in leaves.columns else leaves.select("node_id", "n")
-    said = _phrases(q, held, leaves).join(lengths, "node_id").select("query_id", "node_id", "n", F.lit("phrase").alias("kind"), F.lit(1).cast("long").alias("hits"))
+    # The postings of the words that are asked for are written once: the leaves' words are made, or read, in one pass.
+    hits = written(by_blocks(asked.select("kind", "w").distinct(), 64, ["kind", "w"], lambda block: held.join(block, ["kind", "w"]).select("kind", "w", "node_id", "n")), "hits")
+    met = by_blocks(asked, 64, ["query_id"], lambda block: hits.join(block, ["kind", "w"]).select("query_id", "node_id", "n", "kind", "hits"))
+    said = _phrases(q, hits, leaves).select("query_id", "node_id", "n", F.lit("phrase").alias("kind"), F.lit(1).cast("long").alias("hits"))
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("hits"))), F.lit(0))
     sums = met.unionByName(said).groupBy("query_id", "node_id", "n").agg(*(part(k).alias(k) for k in ("body", "title", "named", "phrase"))).join(q.select("query_id", "m", "k"), "query_id")
     most = lambda c, n: F.least(F.lit(1.0), F.col(c) / F.greatest(F.lit(1), F.col(n)))
@@ -115,10 +116,13 @@ def store(leaves: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(buckets).alias("buckets"), F.lit(dict(leaves.dtypes)["node_id"]).alias("key")).write.json(f"{path}/manifest")
 
 
-def _pruned(spark: SparkSession, path: str, table: str, schema: str, wanted: DataFrame) -> DataFrame:
-    """The rows of some buckets; there are at most BUCKETS numbers, which the plan names, so that no other folder is opened."""
-    numbers = sorted(r[0] for r in wanted.distinct().collect())
-    return spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{table}").filter(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
+def stored_postings(q: DataFrame, path: str, buckets: int, kind: str) -> DataFrame:
+    """Of a stored index, the postings in the buckets of the words of `questions_of`; at most `buckets` numbers, which the plan names, so that no other folder is opened."""
+    spark = q.sparkSession
+    wanted = q.select(F.explode("asked").alias("x")).select(_bucket(buckets, "x.kind", "x.w")).distinct()
+    numbers = sorted(r[0] for r in wanted.collect())
+    held = spark.read.schema(f"kind string, w string, node_id {kind}, n int, bucket int").parquet(f"{path}/postings")
+    return held.filter(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
 
 
 def search_stored(questions: DataFrame, path: str, top: int = TOP) -> DataFrame:
@@ -128,10 +132,8 @@ def search_stored(questions: DataFrame, path: str, top: int = TOP) -> DataFrame:
     if made is None or made["version"] != VERSION:
         raise ValueError(f"{path} holds no whole index of version {VERSION}")
     q = questions_of(questions)
-    words = q.select(F.explode("asked").alias("x")).select(_bucket(made["buckets"], "x.kind", "x.w").alias("bucket"))
-    held = _pruned(spark, path, "postings", f"kind string, w string, node_id {made['key']}, n int", words)
     kept = spark.read.schema(f"node_id {made['key']}, title string, text string, n int, bucket int").parquet(f"{path}/leaves").drop("bucket")
-    return _scored(q, held, kept, top)
+    return _scored(q, stored_postings(q, path, made["buckets"], made["key"]), kept, top)
 
 
 def indexes(files: DataFrame, path: str = "path") -> DataFrame:

@@ -33,7 +33,7 @@ def test_a_stored_index_gives_the_same_rows_from_some_buckets(spark, corpus, tmp
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(G.search_stored(asked, path)) == key(G.search(asked, leaves))
     few = asked.filter("query_id = 'one'")
-    plan = G.search_stored(few, path)._jdf.queryExecution().executedPlan().toString()
+    plan = G.stored_postings(G.questions_of(few), path, 64, "long")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     read = {r[0] for r in spark.read.parquet(f"{path}/postings").select("bucket").distinct().collect()}
     wanted = {r[0] for r in G.questions_of(few).select(F.explode("asked").alias("x")).select(G._bucket(64, "x.kind", "x.w")).distinct().collect()}
