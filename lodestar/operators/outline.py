@@ -22,7 +22,7 @@ from ..functions.unicode import nfc
 LEVELS = 6
 
 
-def with_titles(blocks: DataFrame, key: str = "doc_id", title: str | Column = "text", levels: int = LEVELS) -> DataFrame:
+def with_titles(blocks: DataFrame, key: str = "doc_id", title: str | Column = "text", levels: int = LEVELS, plain: bool = True) -> DataFrame:
     """Blocks with `title_path` (titles of the open headings, outermost first; a heading's own is the last), `section_at` and `parent_at`.
 
     The last two are the positions of the innermost open heading and of the one
@@ -30,8 +30,9 @@ def with_titles(blocks: DataFrame, key: str = "doc_id", title: str | Column = "t
     """
     w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     named = F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))
+    shown = T.heading(T.normalized(named)) if plain else F.trim(named)
     deep = F.when(F.col("level").isNotNull(), F.least("level", F.lit(levels)))
-    met = blocks.select("*", *(F.last(F.when(deep == n, F.struct(F.col("position").alias("at"), T.heading(T.normalized(named)).alias("title"))), ignorenulls=True).over(w).alias(f"_h{n}") for n in range(1, levels + 1)))
+    met = blocks.select("*", *(F.last(F.when(deep == n, F.struct(F.col("position").alias("at"), shown.alias("title"))), ignorenulls=True).over(w).alias(f"_h{n}") for n in range(1, levels + 1)))
     above, open_ = F.lit(None).cast("long"), []
     for n in range(1, levels + 1):
         at = F.col(f"_h{n}.at").cast("long")
@@ -188,7 +189,9 @@ def index_rows(chunks: DataFrame, blocks: DataFrame, docs: DataFrame, tenant: st
         F.sort_array(F.collect_list(F.struct("_at", "lineage_id"))).alias("_l"), F.sort_array(F.collect_set("page")).alias("_pages"), F.sort_array(F.collect_set("page_uid")).alias("_uids"),
         F.max(F.col("kind") == "table").alias("_table"), F.max(F.col("kind") == "image").alias("_image"),
     )
-    rows = chunks.join(met, [key, "chunk_id"], "left").join(docs, key)
+    # What is thin is joined first: the chunks' texts are dealt once.
+    info = chunks.select(key, "chunk_id").join(docs, key).join(met, [key, "chunk_id"], "left")
+    rows = chunks.join(info, [key, "chunk_id"])
     many = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
     depth, path, file = F.size("title_path"), F.col("title_path"), stem(F.col("filename"))
     own = F.array() if readers is None else readers
@@ -205,20 +208,19 @@ def index_rows(chunks: DataFrame, blocks: DataFrame, docs: DataFrame, tenant: st
 def legacy_sections(titled: DataFrame, docs: DataFrame, shortest: int, key: str = "doc_id") -> DataFrame:
     """(key, part, title, parent_title, file_title, content): sections by heading, short ones taken together while their parent title is the same.
 
-    Lines (key, position, level, text) with `with_titles`, documents (key,
-    file_title). The parent title is the nearest heading above, else the
+    Lines (key, position, level, text) from `with_titles` with titles that are
+    not plain, documents (key, file_title). The parent title is the nearest heading above, else the
     section's own title, else the file's. A section below `shortest` characters
     takes in the next ones of its parent title until it is long enough; it then
     bears that title. Titles keep their number signs; sections with neither
-    title nor body are left out.
+    title nor body are left out. Lines are dealt by document once.
     """
-    heads = titled.filter("level IS NOT NULL").select(F.col(key).alias("_k"), F.col("position").alias("_p"), F.trim("text").alias("_t"))
-    same = lambda c: F.col(key).eqNullSafe(F.col("_k")) & (F.col(c) == F.col("_p"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level").isNull(), F.struct("position", "text")))), lambda x: x["text"]), "\n")
-    own = titled.groupBy(key, "section_at").agg(F.btrim(body, F.lit(" \t\r\n")).alias("body"), F.first("parent_at").alias("parent_at"))
-    own = own.join(heads, same("section_at"), "left").withColumn("title", F.coalesce("_t", F.lit(""))).drop("_k", "_p", "_t")
-    own = own.join(heads, same("parent_at"), "left").join(docs.select(key, "file_title"), key)
-    parent = F.coalesce("_t", F.when(F.col("title") != "", F.col("title")), "file_title")
+    own = titled.groupBy(key, "section_at").agg(F.btrim(body, F.lit(" \t\r\n")).alias("body"), F.first("title_path").alias("_path")).join(docs.select(key, "file_title"), key)
+    depth = F.size("_path")
+    title = F.when(depth > 0, F.element_at("_path", -1)).otherwise("")
+    own = own.withColumn("title", title)
+    parent = F.coalesce(F.when(depth > 1, F.get("_path", depth - 2)), F.when(F.col("title") != "", F.col("title")), "file_title")
     rows = own.filter("title != '' OR body != ''").select(key, "section_at", "title", "body", "file_title", parent.alias("parent_title"))
     # Runs of one parent title; inside a run, a fold over its sections, whose texts stay where they are: lengths decide.
     by = Window.partitionBy(key).orderBy(F.asc_nulls_first("section_at"))

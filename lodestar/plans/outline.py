@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import outline as O
@@ -31,9 +31,13 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("end", F.col("start") + F.length("text"))
 
 
+def _first() -> Column:
+    """A block's first word."""
+    return F.get(F.split(F.trim(F.regexp_replace("text", "[\\s ]+", " ")), " "), F.lit(0))
+
+
 def _titled(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.get(F.split(F.trim(F.regexp_replace("text", "[\\s ]+", " ")), " "), F.lit(0))
-    return O.with_titles(_blocks(spark, sf), title=first)
+    return O.with_titles(_blocks(spark, sf), title=_first())
 
 
 @query("d2_title_paths", rf"""WITH {_P} SELECT doc_id, CAST(position AS BIGINT) AS position, array_to_string(path, ' > ') AS title_path, CAST(section_at AS BIGINT) AS section_at, CAST(parent_at AS BIGINT) AS parent_at FROM t""")
@@ -75,9 +79,9 @@ SELECT d.doc_id, CASE WHEN coalesce(body, 0) = 0 AND status NOT IN ('failed', 'q
  'rev_' || substr(sha256(h || chr(10) || 'plain' || chr(10) || '1' || chr(10) || coalesce(ls, '')), 1, 32) AS revision_id, coalesce(body, 0) AS body_blocks FROM d LEFT JOIN a USING (doc_id)""")
 def composed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of their blocks (texts as digests): status, errors and revision; those without a text have no body."""
-    titled = _titled(spark, sf)
+    titled = O.with_titles(_blocks(spark, sf).withColumn("_first", _first()).withColumn("text", F.md5(F.trim("text"))), title="_first")
     s = O.sections(titled).select(F.col("doc_id").alias("_k"), F.col("section_at").alias("_at"), "section_id")
-    blocks = titled.join(s, (F.col("doc_id") == F.col("_k")) & F.col("section_at").eqNullSafe(F.col("_at"))).withColumn("text", F.when(F.trim("text") != "", F.md5(F.trim("text"))).otherwise(F.md5(F.lit(""))))
+    blocks = titled.join(s, (F.col("doc_id") == F.col("_k")) & F.col("section_at").eqNullSafe(F.col("_at")))
     blocks = blocks.withColumn("layer", F.when(F.col("text") == F.md5(F.lit("")), "blank").otherwise(F.col("layer")))
     status = F.get(F.array(*map(F.lit, ("success", "partial", "failed", "quarantined"))), (F.col("doc_id") % 4).cast("int"))
     errors = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("no_body_content"))).otherwise(F.array(F.lit("invalid_page")))
@@ -97,14 +101,20 @@ _PATH = "'[' || array_to_string(list_transform(list_transform(ps, lambda x: doc_
  '[' || array_to_string(list_sort(list_transform(pages, lambda x: '"p' || x || '"')), ',') || ']' AS page_uids, '[' || array_to_string(list_transform(list_filter(ps, lambda x: x % 6 <> 5), lambda x: '"L' || x || '"'), ',') || ']' AS block_lineage_ids, has_table, has_image FROM c""")
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of all documents as rows of the search index; ids without a block and blocks without a lineage are passed over."""
-    titled = _titled(spark, sf)
-    s = O.sections(titled).select(F.col("doc_id").alias("_k"), F.col("section_at").alias("_at"), "section_id", "ordinal")
-    b = titled.join(s, (F.col("doc_id") == F.col("_k")) & F.col("section_at").eqNullSafe(F.col("_at")))
-    b = b.withColumn("block_id", F.concat_ws(":", "doc_id", "position")).withColumn("lineage_id", F.when(F.col("position") % 6 != 5, F.concat(F.lit("L"), F.col("position").cast("string")))).withColumn("page_uid", F.concat(F.lit("p"), F.col("page").cast("string")))
-    parts = F.sort_array(F.collect_list(F.struct("position", "block_id", "text")))
-    c = b.groupBy("doc_id", "section_id", "ordinal").agg(parts.alias("_p"), F.first("title_path").alias("title_path"))
-    ids = F.transform("_p", lambda x: x["block_id"])
-    c = c.select("doc_id", "section_id", "title_path", F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("."), F.col("ordinal").cast("string")).alias("chunk_id"), F.col("ordinal").alias("part"), F.when(F.col("ordinal") % 4 == 1, F.array_append(ids, F.lit("gone"))).otherwise(ids).alias("block_ids"), F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("text"))
+    from pyspark.sql.window import Window
+
+    b = _titled(spark, sf).withColumn("block_id", F.concat_ws(":", "doc_id", "position")).withColumn("lineage_id", F.when(F.col("position") % 6 != 5, F.concat(F.lit("L"), F.col("position").cast("string")))).withColumn("page_uid", F.concat(F.lit("p"), F.col("page").cast("string")))
+    # Sections with blocks of their own, numbered behind a root that has none; all of it within the partitions that the outline has made.
+    # Ids and texts are gathered apart, so that what needs no texts deals none.
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("position", c))), lambda x: x[c])
+    c = b.groupBy("doc_id", "section_at").agg(listed("block_id").alias("_ids"), listed("text").alias("_texts"), F.first("title_path").alias("title_path")).withColumn("_path", F.to_json("title_path"))
+    by = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("section_at"))
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordinal = F.row_number().over(by) - F.max(F.col("section_at").isNull().cast("int")).over(whole)
+    same = F.row_number().over(Window.partitionBy("doc_id", "_path").orderBy(F.asc_nulls_first("section_at"))) - 1
+    c = c.withColumn("ordinal", ordinal.cast("long")).withColumn("section_id", O.section_id(F.col("doc_id"), F.col("title_path"), same))
+    ids = F.col("_ids")
+    c = c.select("doc_id", "section_id", "title_path", F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("."), F.col("ordinal").cast("string")).alias("chunk_id"), F.col("ordinal").alias("part"), F.when(F.col("ordinal") % 4 == 1, F.array_append(ids, F.lit("gone"))).otherwise(ids).alias("block_ids"), F.array_join("_texts", "\n").alias("text"))
     no = F.lit(None).cast("string")
     name = F.concat(F.lit("file."), F.col("doc_id").cast("string"))
     docs = table(spark, sf, "documents").select("doc_id", no.alias("revision_id"), F.concat(name, F.lit(".md")).alias("filename"), no.alias("uri"), no.alias("source_hash"), no.alias("parser"), no.alias("parser_version"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("item"), F.col("doc_id").cast("string"))).alias("item_name"))
@@ -128,7 +138,7 @@ def legacy_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of all documents by the older splitter's rules, the short ones of a parent title taken together; a fold, tested against a plain loop."""
     b = _blocks(spark, sf).withColumn("text", F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), F.substring(F.trim("text"), 1, 3))).otherwise(F.col("text")))
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("file_title"))
-    out = O.legacy_sections(O.with_titles(b), docs, 120)
+    out = O.legacy_sections(O.with_titles(b, plain=False), docs, 120)
     return out.select("doc_id", "part", "title", "parent_title", "file_title", F.md5("content").alias("digest"))
 
 
