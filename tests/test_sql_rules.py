@@ -34,3 +34,10 @@ def test_f16_words_of_any_script_have_ends(spark, tmp_path):
 
 def test_f20_words_of_any_script_have_ends(spark, tmp_path):
     assert not differs(spark, tmp_path, "f20_semantic_plan", "documents", documents(spark, WORDS, 13, 8))
+
+
+def test_k10_halves_are_rounded_as_written(spark, tmp_path):
+    prices = [300650.0, 65450.0, 32350.0, 1.0, 0.05, 123456.78]
+    rows = spark.createDataFrame([(i, i % 2, "FO"[i % 2], p, "1-URGENT") for i, p in enumerate(prices)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    assert not differs(spark, tmp_path, "k10_report_lines", "orders", rows)
+    assert "0.3007" in registry.queries()["k10_report_lines"](spark, str(tmp_path)).filter("at = '1:0' AND part = 4").first()["line"]
