@@ -21,9 +21,15 @@ _TEXT = f"CASE doc_id % 16 {_CASES} ELSE coalesce(text, '') END"
 
 _RE2 = {"openai_style_key": r"(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{16,}", "aws_access_key": r"(?:^|[^A-Z0-9])AKIA[0-9A-Z]{16}(?:[^A-Z0-9]|$)", "private_key": S.CREDENTIALS["private_key"], "assigned_secret": S.CREDENTIALS["assigned_secret"].replace("'", "''")}
 
+#: Letters that case folding spells out in ASCII, which lower() leaves as they are.
+_FOLDS = {"ß": "ss", "ẞ": "ss", "ŉ": "ʼn", "ſ": "s", "ǰ": "j", "ẖ": "h", "ẗ": "t", "ẘ": "w", "ẙ": "y", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
 
 def _flags(t: str) -> str:
-    compact = f"regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    folded = f"lower({t})"
+    for letter, spelt in _FOLDS.items():
+        folded = f"replace({folded}, '{letter}', '{spelt}')"
+    compact = f"regexp_replace({folded}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
     hit = lambda p: f"regexp_matches({t}, '{p}')"
     keys = ", ".join(f"CASE WHEN {hit(p)} THEN '{n}' END" for n, p in _RE2.items())
     possession = f"({hit(S.POSSESSION)} OR regexp_matches({compact}, '{'|'.join(S.COMPACT_POSSESSION)}'))"

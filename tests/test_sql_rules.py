@@ -41,3 +41,12 @@ def test_k10_halves_are_rounded_as_written(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 2, "FO"[i % 2], p, "1-URGENT") for i, p in enumerate(prices)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
     assert not differs(spark, tmp_path, "k10_report_lines", "orders", rows)
     assert "0.3007" in registry.queries()["k10_report_lines"](spark, str(tmp_path)).filter("at = '1:0' AND part = 4").first()["line"]
+
+
+@pytest.mark.parametrize("name", ["x2_inspect", "x4_policy_decisions", "x16_policy_answers"])
+def test_x_case_folding_spells_letters_out(spark, tmp_path, name):
+    # Case 6 asks how to protect a password; "steal" across two words, once spelt with a sharp s, makes it a request.
+    rows = documents(spark, ["Verkeitenß tealschtz", "GROẞTEAL", "nothing", "ßtea l"], 16, 6)
+    assert not differs(spark, tmp_path, name, "documents", rows)
+    if name == "x2_inspect":
+        assert registry.queries()[name](spark, str(tmp_path)).filter("violation").count() == 3
