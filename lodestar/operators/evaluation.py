@@ -35,28 +35,37 @@ def matched(pairs: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, rank, unit): a largest matching of candidates to overlapping gold selectors, earliest ranks first.
 
     `pairs` (case, rank, unit) says which candidate satisfies which selector. A
-    case is a small group by its nature (k candidates by a few selectors).
+    case is a small group by its nature (k candidates by a few selectors): its
+    pairs are one row's arrays, and a batch of many cases goes to Python at once.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        options = {r: sorted(g) for r, g in rows.groupby("rank")["unit"]}
+    def one(ranks: list, units: list) -> list[int]:
+        options: dict = {}
+        for i, rank in enumerate(ranks):
+            options.setdefault(rank, []).append(i)
         holder: dict = {}
 
         def place(rank, tried: set) -> bool:
-            for unit in options[rank]:
+            for i in options[rank]:
+                unit = units[i]
                 if unit not in tried:
                     tried.add(unit)
-                    if unit not in holder or place(holder[unit], tried):
-                        holder[unit] = rank
+                    if unit not in holder or place(ranks[holder[unit]], tried):
+                        holder[unit] = i
                         return True
             return False
 
-        for rank in sorted(options):
+        for rank in options:
             place(rank, set())
-        return pd.DataFrame([(rows[case].iloc[0], r, u) for u, r in sorted(holder.items())], columns=[case, "rank", "unit"])
+        return sorted(holder.values())
 
-    kind = dict(pairs.dtypes)
-    return pairs.groupBy(case).applyInPandas(one, f"{case} {kind[case]}, rank {kind['rank']}, unit {kind['unit']}")
+    @F.pandas_udf("array<int>")
+    def chosen(ranks: pd.Series, units: pd.Series) -> pd.Series:
+        return pd.Series([one(list(r), list(u)) for r, u in zip(ranks, units, strict=True)])
+
+    cases = pairs.filter("rank IS NOT NULL AND unit IS NOT NULL").groupBy(case).agg(F.sort_array(F.collect_set(F.struct("rank", "unit"))).alias("_p"))
+    met = cases.select(case, "_p", F.explode(chosen(F.col("_p.rank"), F.col("_p.unit"))).alias("_i"))
+    return met.select(case, F.get("_p", F.col("_i"))["rank"].alias("rank"), F.get("_p", F.col("_i"))["unit"].alias("unit"))
 
 
 def long_form(results: DataFrame, case: str, metrics: list[str]) -> DataFrame:
