@@ -39,20 +39,26 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
 def greedy_chunks(pieces: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """(key, chunk, first, last, chars): pieces (key, position, chars) packed in order up to `limit` characters.
 
-    A fold over one document's pieces, whose number a document's length bounds.
+    A fold over one document's pieces, whose number a document's length bounds:
+    they are one row's arrays, and a batch of many documents goes to Python at once.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, rows = [], rows.sort_values("position")
-        for position, chars in zip(rows["position"], rows["chars"], strict=True):
-            if out and out[-1][3] + chars + 1 <= limit:
-                out[-1][2], out[-1][3] = position, out[-1][3] + chars + 1
+    def fold(positions: list[int], chars: list[int]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for position, n in zip(positions, chars, strict=True):
+            if out and out[-1][2] + n + 1 <= limit:
+                out[-1][1], out[-1][2] = position, out[-1][2] + n + 1
             else:
-                out.append([len(out), position, position, chars])
-        return pd.DataFrame([(rows[key].iloc[0], *x) for x in out], columns=[key, "chunk", "first", "last", "chars"])
+                out.append([position, position, n])
+        return out
 
-    kind = dict(pieces.dtypes)[key]
-    return pieces.select(key, "position", "chars").groupBy(key).applyInPandas(fold, f"{key} {kind}, chunk long, first long, last long, chars long")
+    @F.pandas_udf("array<array<long>>")
+    def packed(positions: pd.Series, chars: pd.Series) -> pd.Series:
+        return pd.Series([fold(p.tolist(), c.tolist()) for p, c in zip(positions, chars, strict=True)])
+
+    whole = pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), F.col("chars").cast("long").alias("chars")))).alias("_p"))
+    out = whole.select(key, F.posexplode(packed(F.col("_p.position"), F.col("_p.chars"))).alias("chunk", "_c"))
+    return out.select(key, F.col("chunk").cast("long").alias("chunk"), *(F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(("first", "last", "chars"))))
 
 
 def lineage(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

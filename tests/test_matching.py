@@ -1,11 +1,11 @@
-"""Matchings of candidates to overlapping selectors."""
+"""Folds over small groups: matchings of candidates to overlapping selectors, greedy chunks."""
 
 from __future__ import annotations
 
 import itertools
 import random
 
-from lodestar.operators import evaluation
+from lodestar.operators import documents, evaluation
 
 
 def test_matched_is_largest_in_every_case_and_makes_no_group_per_case(spark):
@@ -22,3 +22,21 @@ def test_matched_is_largest_in_every_case_and_makes_no_group_per_case(spark):
         assert len(mine) == most
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "ArrowEvalPython" in plan
+
+
+def test_greedy_chunks_equal_a_plain_loop_and_make_no_group_per_document(spark):
+    r = random.Random(4)
+    rows = [(d, p, r.randrange(0, 60)) for d in range(40) for p in range(r.randrange(1, 30))]
+    found = documents.greedy_chunks(spark.createDataFrame(rows, "doc_id long, position int, chars long").orderBy("chars"), 100)
+    want = []
+    for d in range(40):
+        mine: list[list[int]] = []
+        for _, p, n in (x for x in rows if x[0] == d):
+            if mine and mine[-1][3] + n + 1 <= 100:
+                mine[-1][2:] = [p, mine[-1][3] + n + 1]
+            else:
+                mine.append([len(mine), p, p, n])
+        want += [(d, *x) for x in mine]
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
+    assert found.columns == ["doc_id", "chunk", "first", "last", "chars"]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
