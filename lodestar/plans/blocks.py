@@ -18,7 +18,7 @@ _B = rf"""
 dd AS (SELECT doc_id, {_STRUCTURED} AS text FROM documents),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position, unnest(string_split(text, chr(10))) AS line FROM dd),
 f AS (SELECT *, regexp_matches(line, '^ *(?:```|~~~)') AS fence, coalesce(sum(CAST(regexp_matches(line, '^ *(?:```|~~~)') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
-t AS (SELECT *, CASE WHEN fence OR before % 2 = 1 THEN 'code' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}} +\S') THEN 'heading' WHEN regexp_matches(line, '^ *!\[[^\]]*\]\([^)]*\) *$') THEN 'image'
+t AS (SELECT *, CASE WHEN fence OR before % 2 = 1 THEN 'code' WHEN trim(line, ' ') = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}} +\S') THEN 'heading' WHEN regexp_matches(line, '^ *!\[[^\]]*\]\([^)]*\) *$') THEN 'image'
  WHEN regexp_matches(line, '^[^|]*\|.*\|') THEN 'table' WHEN regexp_matches(line, '^ *(?:[-*+]|\d+[.)]) +\S') THEN 'list' ELSE 'paragraph' END AS kind FROM f),
 s AS (SELECT *, kind IN ('heading', 'image', 'blank') OR (fence AND before % 2 = 0) OR lag(kind) OVER (PARTITION BY doc_id ORDER BY position) IS NULL OR lag(kind) OVER (PARTITION BY doc_id ORDER BY position) <> kind AS starts FROM t),
 n AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM s),

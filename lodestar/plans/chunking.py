@@ -33,17 +33,19 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Cut positions found step by step: the units of a text (or the rows of a table) that still fit, counted from where the piece begins.
-_STRIP = r"regexp_replace({0}, '^[\s ]+|[\s ]+$', '', 'g')"
+# White space is that of any script; a table of nothing but its first row is one piece, where that row fits.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
+_STRIP = rf"regexp_replace({{0}}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 _UNITS = r"'[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+'"
 _PIECES = rf"""WITH RECURSIVE {_SECTIONED.replace('WITH ', '')},
-e AS (SELECT row_number() OVER () AS rid, doc_id, block, kind, text, length(text) AS n FROM sb WHERE kind <> 'heading' AND (kind = 'image' OR trim(text) <> '')),
+e AS (SELECT row_number() OVER () AS rid, doc_id, block, kind, text, length(text) AS n FROM sb WHERE kind <> 'heading' AND (kind = 'image' OR trim(text, ' ') <> '')),
 tl AS (SELECT rid, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM e WHERE kind = 'table' AND n > 1200),
-tr AS (SELECT rid, i, array_to_string(list_transform(string_split(trim(trim(line), '|'), '|'), lambda x: trim(x)), ' | ') AS row FROM tl WHERE NOT (i = 2 AND regexp_matches(line, '^\s*\|?\s*:?-{{3,}}:?\s*(?:\|\s*:?-{{3,}}:?\s*)+\|?\s*$'))),
+tr AS (SELECT rid, i, array_to_string(list_transform(string_split(trim(trim(line, ' '), '|'), '|'), lambda x: trim(x, ' ')), ' | ') AS row FROM tl WHERE NOT (i = 2 AND regexp_matches(line, '^\s*\|?\s*:?-{{3,}}:?\s*(?:\|\s*:?-{{3,}}:?\s*)+\|?\s*$'))),
 tc AS (SELECT rid, i, row, CASE WHEN row = '' THEN 0 ELSE length(row) + 1 END AS cost, row_number() OVER (PARTITION BY rid ORDER BY i) AS k FROM tr),
 th AS (SELECT rid, row AS head, cost AS hc FROM tc WHERE k = 1),
 tt AS (SELECT rid, any_value(head) AS head, any_value(hc) AS hc, list(row ORDER BY k) FILTER (WHERE k > 1) AS rows, list(CAST(c AS BIGINT) ORDER BY k) FILTER (WHERE k > 1) AS sums, max(cost) FILTER (WHERE k > 1) AS most, count(*) - 1 AS n
   FROM (SELECT *, sum(CASE WHEN k > 1 THEN cost ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS c FROM tc) JOIN th USING (rid) GROUP BY rid),
-tf AS (SELECT * FROM tt WHERE n > 0 AND hc + most <= 1201),
+tf AS (SELECT * FROM tt WHERE hc + coalesce(most, 0) <= 1201),
 tp(rid, a, b) AS (SELECT rid, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tf UNION ALL SELECT t.rid, p.b, CAST(len(list_filter(t.sums, lambda x: x <= CASE WHEN p.b = 0 THEN 0 ELSE t.sums[p.b] END + 1201 - t.hc)) AS BIGINT) FROM tp p JOIN tf t ON t.rid = p.rid WHERE p.b < t.n),
 lu AS (SELECT rid, regexp_extract_all(text, {_UNITS}) AS us FROM e ANTI JOIN tf USING (rid) WHERE kind NOT IN ('image', 'code') AND n > 1200),
 lx AS (SELECT rid, generate_subscripts(us, 1) AS i, length(unnest(us)) AS l FROM lu),
@@ -55,6 +57,7 @@ sp AS (SELECT rid, k, a, b, win, k = max(k) OVER (PARTITION BY rid) AS last FROM
 p AS (SELECT rid, 0 AS k, 0 AS pos, text AS piece FROM e WHERE kind = 'image' OR n <= 1200
   UNION ALL SELECT rid, 0, x, substr(text, CAST(x + 1 AS BIGINT), 1200) FROM (SELECT rid, text, unnest(range(0, n, 1200)) AS x FROM e WHERE kind = 'code' AND n > 1200)
   UNION ALL SELECT rid, 0, a, array_to_string(list_filter([head] || rows[a + 1:b], lambda x: x <> ''), chr(10)) FROM tp JOIN tf USING (rid) WHERE b > 0
+  UNION ALL SELECT rid, 0, 0, head FROM tf WHERE n = 0
   UNION ALL SELECT rid, k, x, substr(text, CAST(x + 1 AS BIGINT), CAST(least(x + 1200, b) - x AS BIGINT)) FROM (SELECT rid, k, b, unnest(range(a, b, 1080)) AS x FROM sp WHERE win) JOIN e USING (rid)
   UNION ALL SELECT * FROM (SELECT rid, k, a, {_STRIP.format('substr(text, a + 1, b - a)')} AS piece FROM sp JOIN e USING (rid) WHERE NOT win AND NOT (last AND {_STRIP.format('substr(text, a + 1, b - a)')} = '')))"""
 

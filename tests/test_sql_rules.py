@@ -50,3 +50,17 @@ def test_x_case_folding_spells_letters_out(spark, tmp_path, name):
     assert not differs(spark, tmp_path, name, "documents", rows)
     if name == "x2_inspect":
         assert registry.queries()[name](spark, str(tmp_path)).filter("violation").count() == 3
+
+
+#: Lines that are tables of one row: longer than a piece, but not once their cells are bare (one piece), and too long even then (cut as a text).
+ROWS = ["a\n\n|" + " " * 200 + "a" * 1100 + " | b |\n\nz", "a\n\n|" + " " * 200 + "b. " * 600 + "| b |\n\nz", "a\n\n" + "|" * 300 + "c" * 1000 + "\n|---|---|\n\nz"]
+
+
+def test_d11_table_of_one_row_is_one_piece_where_it_fits(spark, tmp_path):
+    assert not differs(spark, tmp_path, "d11_pieces", "documents", documents(spark, ROWS, 1))
+    assert registry.queries()["d11_pieces"](spark, str(tmp_path)).filter("kind = 'table' AND doc_id = 0 AND part = 0 AND n_parts = 1").count() >= 1
+
+
+def test_d11_white_space_of_any_script_is_stripped(spark, tmp_path):
+    odd = ("x" * 700 + "." + chr(0x3000) + "y" * 700 + chr(0xA0) + "." + chr(0x2003)) * 2
+    assert not differs(spark, tmp_path, "d11_pieces", "documents", documents(spark, [odd, chr(0x3000) * 1300, "v" * 1201 + "." + chr(0x1F)], 1))
