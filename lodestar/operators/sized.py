@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The largest side that is broadcast, in bytes of its rows.
 BROADCAST_BYTES = 8 << 20
+#: About how many bytes of text, or how many rows of short columns, a task is dealt.
+TASK_BYTES, TASK_ROWS = 16 << 20, 1 << 20
 
 
 def if_small(rows: DataFrame, row_bytes: int) -> DataFrame:
@@ -28,6 +30,16 @@ def by_blocks(rows: DataFrame, row_bytes: int, key: list[str], each: Callable[[D
     return reduce(DataFrame.unionByName, (each(F.broadcast(rows.filter(part == b))) for b in range(blocks)))
 
 
+def dealt(rows: DataFrame, key: str, text: str | None = None, most: int | None = None) -> DataFrame:
+    """The rows dealt by `key` so that a partition holds about `most` bytes of `text`, or without a text about so many rows: what a task sorts does not grow with the table.
+
+    What follows by the key stays in these partitions. There are at least as many as a shuffle has.
+    """
+    size, most = (F.count("*"), most or TASK_ROWS) if text is None else (F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), most or TASK_BYTES)
+    parts = -(-rows.agg(size).first()[0] // most)
+    return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir; a temporary one only where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import outline as O
+from ..operators.sized import dealt
 from .registry import query, table
 
 # Sentences of all documents as blocks: one in three is a heading of level 1 to 4, its first word the title; others are body, some of them page furniture.
@@ -21,7 +22,7 @@ t AS (SELECT b.doc_id, b.position, b.s, b.level, b.page, b.start, coalesce(list(
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    p = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("position", "text"))
+    p = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("position", "text"))
     n = F.length("text")
     level = F.when((F.col("position") + n) % 3 == 0, 1 + (F.floor(n / 3) + F.col("position")) % 4)
     start = F.sum(n + 2).over(Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)) - n - 2
