@@ -127,11 +127,11 @@ def index_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("d17_contextual_text", rf"""WITH {_X} SELECT doc_id, section_id, md5(trim(array_to_string(path || [text], chr(10)), ' ' || chr(9) || chr(13) || chr(10))) AS digest FROM c""")
 def contextual_text(spark: SparkSession, sf: str) -> DataFrame:
     """Each section's text below the titles that lead to it."""
-    titled = _titled(spark, sf)
-    s = O.sections(titled).select(F.col("doc_id").alias("_k"), F.col("section_at").alias("_at"), "section_id")
-    own = titled.groupBy("doc_id", "section_at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n").alias("text"), F.first("title_path").alias("title_path"))
-    rows = own.join(s, (F.col("doc_id") == F.col("_k")) & F.col("section_at").eqNullSafe(F.col("_at")))
-    return rows.select("doc_id", "section_id", F.md5(O.contextual(F.col("title_path"), F.col("text"))).alias("digest"))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n")
+    path = F.coalesce(F.first("title_path"), F.array().cast("array<string>"))
+    # Texts end as digests where they are gathered; no later sort carries them.
+    rows = O.sections(_titled(spark, sf), also={"digest": F.md5(O.contextual(path, own))})
+    return rows.filter("blocks > 0").select("doc_id", "section_id", "digest")
 
 
 @query("d14_legacy_sections")
