@@ -81,9 +81,7 @@ SELECT d.doc_id, CASE WHEN coalesce(body, 0) = 0 AND status NOT IN ('failed', 'q
 def composed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of their blocks (texts as digests): status, errors and revision; those without a text have no body."""
     titled = O.with_titles(_blocks(spark, sf).withColumn("_first", _first()).withColumn("text", F.md5(F.trim("text"))), title="_first")
-    s = O.sections(titled).select(F.col("doc_id").alias("_k"), F.col("section_at").alias("_at"), "section_id")
-    blocks = titled.join(s, (F.col("doc_id") == F.col("_k")) & F.col("section_at").eqNullSafe(F.col("_at")))
-    blocks = blocks.withColumn("layer", F.when(F.col("text") == F.md5(F.lit("")), "blank").otherwise(F.col("layer")))
+    blocks = O.with_section_ids(titled).withColumn("layer", F.when(F.col("text") == F.md5(F.lit("")), "blank").otherwise(F.col("layer")))
     status = F.get(F.array(*map(F.lit, ("success", "partial", "failed", "quarantined"))), (F.col("doc_id") % 4).cast("int"))
     errors = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("no_body_content"))).otherwise(F.array(F.lit("invalid_page")))
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("source", F.lit("")), 256).alias("source_hash"), F.lit("plain").alias("parser"), F.lit("1").alias("parser_version"), status.alias("status"), errors.alias("errors"))
