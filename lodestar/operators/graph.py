@@ -55,6 +55,18 @@ def hydrate(hits: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFram
     return first_of(hits, ["query_id", key], [F.col("rank")]).join(rows, key)
 
 
+def verified(edges: DataFrame, readable: DataFrame) -> DataFrame:
+    """(rel, edges, heads, tails, closed_heads) of distinct edges (head, rel, tail): how many edges and ends each relation has, and how many edges a head that is not readable.
+
+    Heads and tails are counted as rows, one a relation and end, so that no task holds all combinations of both.
+    """
+    heads = edges.groupBy("rel", "head").agg(F.count("*").alias("n"))
+    marked = heads.join(readable.select(F.col("node").alias("head"), F.lit(True).alias("open")).distinct(), "head", "left")
+    by_head = marked.groupBy("rel").agg(F.sum("n").alias("edges"), F.count("head").alias("heads"), F.coalesce(F.sum(F.when(F.col("open").isNull(), F.col("n"))), F.lit(0)).alias("closed_heads"))
+    by_tail = edges.groupBy("rel", "tail").count().groupBy("rel").agg(F.count("tail").alias("tails"))
+    return by_head.join(by_tail.withColumnRenamed("rel", "_rel"), F.col("rel").eqNullSafe(F.col("_rel"))).select("rel", "edges", "heads", "tails", "closed_heads")
+
+
 def with_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations (chunk_id, head, rel, tail) whose two ends are entities (chunk_id, name) of the same chunk."""
     for end in ("head", "tail"):

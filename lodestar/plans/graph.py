@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fusion, graph
+from ..operators.sized import dealt
 from .registry import query, table
 
 _G = """
@@ -25,7 +26,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     line = table(spark, sf, "lineitem")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c))
-    edges = line.select(name("S", "l_suppkey").alias("head"), F.concat(F.lit("SUPPLIES_"), "l_returnflag").alias("rel"), name("P", "l_partkey").alias("tail")).distinct()
+    edges = line.select(name("S", "l_suppkey").alias("head"), F.concat(F.lit("SUPPLIES_"), "l_returnflag").alias("rel"), name("P", "l_partkey").alias("tail"))
+    edges = dealt(edges, "head").distinct()  # within partitions of bounded size
     readable = table(spark, sf, "supplier").filter("s_suppkey % 7 != 3").select(name("S", "s_suppkey").alias("node")).union(table(spark, sf, "part").filter("p_partkey % 5 != 2").select(name("P", "p_partkey").alias("node")))
     seed = table(spark, sf, "supplier").filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"), name("S", "s_suppkey").alias("seed"))
     mentions = line.select(name("P", "l_partkey").alias("node"), F.col("l_orderkey").alias("chunk_id")).distinct()
@@ -96,8 +98,7 @@ def merge_entities(spark: SparkSession, sf: str) -> DataFrame:
 @query("a19_graph_verification", f"""WITH {_G} SELECT rel, count(*) AS edges, count(DISTINCT head) AS heads, count(DISTINCT tail) AS tails, count(*) FILTER (WHERE head NOT IN (SELECT node FROM readable)) AS closed_heads FROM edges GROUP BY rel""")
 def verification(spark: SparkSession, sf: str) -> DataFrame:
     edges, readable, _, _ = _parts(spark, sf)
-    marked = edges.join(readable.select(F.col("node").alias("head"), F.lit(True).alias("open")), "head", "left")
-    return marked.groupBy("rel").agg(F.count("*").alias("edges"), F.countDistinct("head").alias("heads"), F.countDistinct("tail").alias("tails"), F.count_if(F.col("open").isNull()).alias("closed_heads"))
+    return graph.verified(edges, readable)
 
 
 @query("j21_best_per_item", "SELECT l_partkey AS item, l_orderkey AS best, l_extendedprice AS price FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import security, unicode
+from lodestar.operators import graph
 from lodestar.operators import inspection
 from lodestar.functions import text as T
 from lodestar.operators import access, blocks, documents, evaluation, fusion, integrity, ranking, usage
@@ -211,3 +212,11 @@ def test_budgets_in_a_stream(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert {(r["trace_id"], r["tokens"], r["exceeded"]) for r in spark.table("b").collect()} == {(0, 10, False), (1, 110, True)}
+
+
+def test_verified_graph_counts_edges_and_ends(spark):
+    edges = spark.createDataFrame([("a", "r", "x"), ("a", "r", "y"), ("b", "r", "x"), ("b", "s", "x"), ("c", "s", "y")], "head string, rel string, tail string")
+    readable = spark.createDataFrame([("a",), ("c",), ("x",)], "node string")
+    out = graph.verified(edges, readable)
+    assert sorted(map(tuple, out.collect())) == [("r", 3, 2, 2, 1), ("s", 2, 2, 2, 1)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
