@@ -51,14 +51,36 @@ def continued_tables(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     same = (F.col("kind") == "table") & (F.lag("kind").over(w) == "table") & (F.lag("_head").over(w) == F.col("_head")) & (F.trim("_head") != "")
     return t.withColumn("continues_from", F.when(same, F.col("block") - 1)).drop("_head")
 
+#: From this length on, SequenceMatcher takes frequent characters for junk.
+WITHOUT_JUNK = 200
+
+
+def subsequence_masks(text: str) -> dict[str, int]:
+    """Where each character stands in a text, as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(text):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def subsequence_length(masks: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence of a text and the one of `size` characters that the masks stand for, a row of the usual table at once."""
+    full = (1 << size) - 1
+    row = full
+    for c in text:
+        met = row & masks.get(c, 0)
+        if met:
+            row = ((row + met) | (row - met)) & full
+    return size - row.bit_count()
+
 
 def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, where: Column | None = None, floor: Column | None = None) -> DataFrame:
     """(by, old, new, score): texts of two sides (by, position, text) whose longest-matching-block ratio is at least `least`.
 
     Pairs are made only where a length lies within what the ratio allows of
     the other (bands of lengths are joined, not whole groups), and are scored
-    in Arrow batches, wherever they lie; a bound by shared characters spares most of them the whole
-    comparison. `where` compares further columns, which both sides carry with
+    in Arrow batches, wherever they lie. Matching blocks are a common subsequence, so the longest
+    one bounds the ratio and spares most pairs the whole comparison. `where` compares further columns, which both sides carry with
     the prefixes `old_` and `new_`, `floor` is a higher least that depends on them. Blank texts are like nothing.
     """
     near = least / (2 - least)  # a ratio of 2 m / (a + b) with m <= min(a, b) needs min / max of at least this
@@ -71,12 +93,20 @@ def similar_pairs(old: DataFrame, new: DataFrame, by: list[str], least: float, w
 
     @F.pandas_udf("double")
     def ratio(new_text: pd.Series, old_text: pd.Series) -> pd.Series:
-        out, known = [], SequenceMatcher(None)
+        out, last, masks = [], None, {}
         for n, o in zip(new_text, old_text, strict=True):
-            if known.b != o:
-                known.set_seq2(o)
+            if len(o) < WITHOUT_JUNK and (o in n or n in o):
+                out.append(2.0 * min(len(o), len(n)) / (len(n) + len(o)))  # the whole of the shorter is the one block
+                continue
+            if o != last:
+                last, masks, known = o, subsequence_masks(o), None
+            if 2.0 * subsequence_length(masks, len(o), n) / (len(n) + len(o)) < least:
+                out.append(0.0)
+                continue
+            if known is None:
+                known = SequenceMatcher(None, "", o)
             known.set_seq1(n)
-            out.append(known.ratio() if known.quick_ratio() >= least else 0.0)
+            out.append(known.ratio())
         return pd.Series(out)
 
     scored = pairs.withColumn("score", ratio("new_text", "old_text")).filter(F.col("score") >= least)

@@ -11,10 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import security, unicode
-from lodestar.operators import graph
 from lodestar.operators import inspection
 from lodestar.functions import text as T
-from lodestar.operators import access, blocks, documents, evaluation, fusion, integrity, ranking, usage
+from lodestar.operators import access, blocks, documents, evaluation, fusion, graph, integrity, ranking, usage
 from lodestar.sources import files
 from lodestar.streaming import usage_stream
 
