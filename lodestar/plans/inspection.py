@@ -76,9 +76,9 @@ _EDGES = S.EDGES.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\
 
 _DECISIONS = f"""{_SQL},
 b AS (SELECT *, injection AND NOT discussion AS active, CASE WHEN injection THEN trim(regexp_split_to_array(t, '{S.INJECTION}')[1], '{_EDGES}') ELSE '' END AS before,
- trim(coalesce(nullif(regexp_extract(t, '{S.LEGITIMATE[0]}', 1), ''), regexp_extract(t, '{S.LEGITIMATE[1]}', 1)), '{_EDGES}') AS after FROM f),
+ trim(regexp_extract(t, '{S.LEGITIMATE[0]}', 1), '{_EDGES}') AS after, trim(regexp_extract(t, '{S.LEGITIMATE[1]}', 1), '{_EDGES}') AS after2 FROM f),
 r AS (SELECT doc_id, source, t AS whole, injection AS i1, violation AS v1, credentials AS c1, freshness AS f1, active,
- CASE WHEN NOT active THEN '' WHEN length(before) >= 4 THEN before WHEN after <> '' AND NOT regexp_matches(after, '{S.INJECTION}') THEN after ELSE '' END AS rest FROM b),
+ CASE WHEN NOT active THEN '' WHEN length(before) >= 4 THEN before WHEN after <> '' AND NOT regexp_matches(after, '{S.INJECTION}') THEN after WHEN after2 <> '' AND NOT regexp_matches(after2, '{S.INJECTION}') THEN after2 ELSE '' END AS rest FROM b),
 a AS (SELECT *, {_flags('rest')} FROM r)
 SELECT doc_id, CASE WHEN active AND rest <> '' AND (violation OR len(credentials) > 0) THEN 'sensitive_information_exfiltration_after_sanitization' WHEN active AND rest <> '' AND NOT injection THEN 'untrusted_instruction_removed'
  WHEN len(c1) > 0 THEN 'credential_material_in_input' WHEN v1 THEN 'sensitive_information_exfiltration' WHEN active THEN 'prompt_injection_without_safe_business_query' WHEN f1 THEN 'time_sensitive_query' ELSE 'normal_business_query' END AS reason FROM a"""
