@@ -38,10 +38,16 @@ def _flags(t: str) -> str:
     return f"{hit(S.INJECTION)} AS injection, {violation} AS violation, list_filter([{keys}], lambda x: x IS NOT NULL) AS credentials, ({hit(S.PROTECTIVE)} AND NOT {violation}) AS discussion, {hit(S.FRESHNESS)} AS freshness"
 
 
-_SQL = f"""WITH t AS (SELECT doc_id, source, trim(regexp_replace(replace(translate({_TEXT}, '{_WIDE}', '{_NARROW}'), chr(8203), ''), '[\\n\\r\\t]', ' ', 'g')) AS t FROM documents),
+def _flagged(t: str) -> str:
+    return f"""WITH t AS (SELECT doc_id, source, trim({t}) AS t FROM documents),
 f AS (SELECT *, {_flags('t')} FROM t)"""
 
 
+_NARROWED = f"translate({_TEXT}, '{_WIDE}', '{_NARROW}')"
+#: Line ends become spaces, then control and format characters go.
+_SQL = _flagged(f"regexp_replace(regexp_replace({_NARROWED}, '[\\n\\r\\t]', ' ', 'g'), '[\\p{{Cf}}\\p{{Cc}}]+', '', 'g')")
+
+
 def _planted(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -59,7 +65,10 @@ def inspect(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", *(f"signals.{c}" for c in ("injection", "violation", "discussion", "freshness")))
 
 
-@query("x7_credential_scan", f"{_SQL} SELECT doc_id, array_to_string(credentials, ',') AS rules, len(credentials) > 0 AS blocked FROM f")
+_SCANNED = _flagged(f"regexp_replace(replace({_NARROWED}, chr(8203), ''), '[\\n\\r\\t]', ' ', 'g')")
+
+
+@query("x7_credential_scan", f"{_SCANNED} SELECT doc_id, array_to_string(credentials, ',') AS rules, len(credentials) > 0 AS blocked FROM f")
 def credentials(spark: SparkSession, sf: str) -> DataFrame:
     """Credential patterns alone, without decoding, as an answer is checked."""
     d = _planted(spark, sf).select("doc_id", S.rules(F.regexp_replace("text", r"[\n\r\t]", " ")).alias("r"))
